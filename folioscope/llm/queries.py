@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, near_dedup, piece_codec, quality, sharding, token_counts, warc
+from . import mixing, near_dedup, piece_codec, quality, sharding, token_counts, toxicity, warc
 from ._spark import read
 
 
@@ -26,6 +26,11 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.digest_documents(read(spark, sf_dir, "documents"), piece_model())
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, read(spark, sf_dir, "labels")))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "p_good"]
     return quality.judge(read(spark, sf_dir, "documents")).select(*columns)
@@ -88,7 +93,7 @@ FROM d LEFT JOIN f ON d.payload_digest = f.payload_digest AND d.payload_bytes >=
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_sentencepiece, op6_quality, op7_near_dedup, op8_warc, op9_mixing, op10_sharding)}
+    return {f.__name__: f for f in (op1_token_counts, op2_sentencepiece, op3_toxicity, op6_quality, op7_near_dedup, op8_warc, op9_mixing, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
