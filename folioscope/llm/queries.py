@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lm, mixing, near_dedup, piece_codec, quality, sharding, token_counts, toxicity, warc
+from . import fingerprint, lm, mixing, near_dedup, piece_codec, quality, sharding, token_counts, toxicity, warc
 from ._spark import read
 
 
@@ -35,6 +35,10 @@ def op4_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(read(spark, sf_dir, "documents"), piece_model())
 
 
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.edited(read(spark, sf_dir, "documents"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "p_good"]
     return quality.judge(read(spark, sf_dir, "documents")).select(*columns)
@@ -97,7 +101,7 @@ FROM d LEFT JOIN f ON d.payload_digest = f.payload_digest AND d.payload_bytes >=
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_sentencepiece, op3_toxicity, op4_lm, op6_quality, op7_near_dedup, op8_warc, op9_mixing, op10_sharding)}
+    return {f.__name__: f for f in (op1_token_counts, op2_sentencepiece, op3_toxicity, op4_lm, op5_fingerprints, op6_quality, op7_near_dedup, op8_warc, op9_mixing, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
