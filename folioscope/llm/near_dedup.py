@@ -174,7 +174,11 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that are the smallest of their group, with all their columns."""
-    kept = groups(docs, id_col, text_col).filter("kept").select(F.col("uid").alias("__uid")).distinct()
+    """One document of each group, the smallest id, with all its columns; of repeated rows one stays."""
+    kept = groups(docs, id_col, text_col).filter("kept").groupBy(F.col("uid").alias("__uid")).agg(F.count(F.lit(1)).alias("__times"))
+    kept = _spark.stored(kept, "kept")
     keyed = docs.withColumn("__key", F.xxhash64(F.col(id_col), F.col(text_col).cast("string")))
-    return keyed.join(kept, F.col("__key") == F.col("__uid"), "left_semi").select(*docs.columns)
+    out = keyed.join(kept.select("__uid"), F.col("__key") == F.col("__uid"), "left_semi")
+    if kept.filter("__times > 1").limit(1).count():
+        out = out.dropDuplicates(["__key"])
+    return out.select(*docs.columns)

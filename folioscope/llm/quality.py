@@ -27,7 +27,7 @@ LETTER[65:91] = LETTER[97:123] = LETTER[128:] = 1
 SHOUT = np.zeros(256, np.int64)
 SHOUT[[ord(c) for c in "!?"]] = 1
 WIDTH = 5
-FEATURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters", "n_shouts"]
+FEATURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters", "n_shouts", "n_stutters"]
 
 
 def _per_text(values: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -79,9 +79,15 @@ def features(data: np.ndarray, at: np.ndarray) -> np.ndarray:
         out[:, 3] = np.bincount(doc[later], minlength=docs)
         out[:, 5] = np.bincount(doc, minlength=docs)
 
+    hashes = _text.span_hash(sums, begin, end)
+    if len(hashes) > 1:
+        again = np.zeros(len(hashes), bool)
+        again[1:] = hashes[1:] == hashes[:-1]
+        again[first[:-1][counts > 0]] = False
+        out[:, 9] = _per_text(again, first)
+
     full = counts >= WIDTH
     if full.any():
-        hashes = _text.span_hash(sums, begin, end)
         windows = np.where(full, counts - WIDTH + 1, 0)
         start = np.repeat(first[:-1] - np.concatenate([[0], np.cumsum(windows)[:-1]]), windows) + np.arange(windows.sum())
         key = np.zeros(len(start), np.uint64)
@@ -114,26 +120,34 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ke
     return docs.select(*names, F.col(text_col).cast("string").alias("__text")).mapInArrow(run, schema)
 
 
-def _vote(bad: Column, good: Column) -> Column:
+def _vote(bad: Column, good: Column | None = None) -> Column:
     """-1 bad, 1 good, 0 abstains; an undefined ratio abstains."""
-    return F.when(F.coalesce(bad, F.lit(False)), -1).when(F.coalesce(good, F.lit(False)), 1).otherwise(0)
+    vote = F.when(F.coalesce(bad, F.lit(False)), -1)
+    return (vote if good is None else vote.when(F.coalesce(good, F.lit(False)), 1)).otherwise(0)
 
 
 def votes() -> dict[str, Column]:
-    """The rules, over the columns of :func:`measured`."""
+    """The rules, over the columns of :func:`measured`.
+
+    A document can be bad in one way and ordinary in all others, so a rule about one kind of junk votes bad
+    or abstains; only the rule that looks at prose as a whole votes for good.
+    """
     words = F.when(F.col("n_words") > 0, F.col("n_words"))
     lines = F.when(F.col("n_lines") >= 3, F.col("n_lines"))
     letters = F.when(F.col("n_letters") >= 20, F.col("n_letters"))
     symbols, shouts, mean = F.col("n_symbols") / words, F.col("n_shouts") / words, F.col("word_chars") / words
     upper, repeats, copies = F.col("n_upper") / letters, F.col("n_repeat_words") / words, F.col("n_dup_lines") / lines
+    stutter = F.col("n_stutters") / words
+    plain = (F.col("n_words") >= 10) & mean.between(3, 9) & (symbols < 0.03) & (upper < 0.2) & (repeats < 0.15) & (stutter < 0.15)
     return {
-        "symbols": _vote(symbols > 0.15, symbols < 0.03),
-        "capitals": _vote(upper > 0.4, upper < 0.15),
-        "shouting": _vote(shouts > 0.4, shouts < 0.1),
-        "repeats": _vote(repeats > 0.4, repeats < 0.1),
-        "copied_lines": _vote(copies > 0.4, copies < 0.1),
-        "word_length": _vote((mean < 2.5) | (mean > 10), (mean > 4.3) & (mean < 6.5)),
-        "length": _vote(F.col("n_words") < 10, F.col("n_words") >= 40),
+        "symbols": _vote(symbols > 0.15),
+        "capitals": _vote(upper > 0.4),
+        "shouting": _vote(shouts > 0.4),
+        "repeats": _vote(repeats > 0.4),
+        "copied_lines": _vote(copies > 0.4),
+        "stutter": _vote(stutter > 0.3),
+        "word_length": _vote((mean < 2.5) | (mean > 10)),
+        "prose": _vote(F.col("n_words") < 10, plain),
     }
 
 
@@ -144,8 +158,9 @@ def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: i
     a prior worth the share ``prior`` of all documents, ties the first class to good.
     """
     rules = patterns.shape[1]
+    # bad, abstain, good: on good and on bad documents
     start = np.empty((2, rules, 3))
-    start[0], start[1] = (0.03, 0.12, 0.85), (0.4, 0.2, 0.4)
+    start[0], start[1] = (0.01, 0.49, 0.5), (0.3, 0.5, 0.2)
     at = patterns + 1
     hot = np.eye(3)[at]
     theta, share = start.copy(), np.array([0.8, 0.2])
@@ -167,20 +182,23 @@ def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: i
     return good
 
 
-def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), threshold: float = 0.5) -> DataFrame:
-    """Features, ``base_failed``, ``p_good`` and ``kept`` of every document (and the ``keep`` columns)."""
-    spark = docs.sparkSession
-    rules = votes()
-    table = measured(docs, id_col, text_col, keep)
-    table = _spark.stored(table.select("*", F.array(*[v.cast("int") for v in rules.values()]).alias("votes")), "features")
-    seen = table.groupBy("votes").agg(F.count(F.lit(1)).alias("n")).orderBy("votes").collect()
-    good = {}
-    if seen:
-        patterns = np.array([r["votes"] for r in seen], np.int64)
-        p = expectation_maximisation(patterns, np.array([r["n"] for r in seen], float))
-        good = [(r["votes"], float(x)) for r, x in zip(seen, p)]
-    # at most 3 ** 7 patterns
-    known = F.broadcast(spark.createDataFrame(good or [], "pattern array<int>, p_good double"))
+def posterior(seen: list) -> dict[tuple, float]:
+    """Probability of good by vote pattern, from rows (votes, n)."""
+    if not seen:
+        return {}
+    patterns = np.array([r["votes"] for r in seen], np.int64)
+    p = expectation_maximisation(patterns, np.array([r["n"] for r in seen], float))
+    return {tuple(r["votes"]): float(x) for r, x in zip(seen, p)}
+
+
+def _counted(table: DataFrame) -> list:
+    """Counts of vote patterns, at most 3 to the power of the number of rules."""
+    return table.groupBy("votes").agg(F.count(F.lit(1)).alias("n")).orderBy("votes").collect()
+
+
+def _decided(table: DataFrame, good: dict[tuple, float], threshold: float) -> DataFrame:
+    spark = table.sparkSession
+    known = F.broadcast(spark.createDataFrame([(list(k), p) for k, p in good.items()], "pattern array<int>, p_good double"))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     return (
         table.join(known, F.col("votes") == F.col("pattern"), "left")
@@ -188,3 +206,23 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep:
         .withColumn("kept", ~F.col("base_failed") & (F.coalesce("p_good", F.lit(0.0)) >= threshold))
         .drop("pattern")
     )
+
+
+def _voted(table: DataFrame) -> DataFrame:
+    return table.select("*", F.array(*[v.cast("int") for v in votes().values()]).alias("votes"))
+
+
+def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), threshold: float = 0.5) -> DataFrame:
+    """Features, ``base_failed``, ``p_good`` and ``kept`` of every document (and the ``keep`` columns)."""
+    table = _spark.stored(_voted(measured(docs, id_col, text_col, keep)), "features")
+    return _decided(table, posterior(_counted(table)), threshold)
+
+
+def kept_documents(docs: DataFrame, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+    """The documents that are kept, with all their columns; texts are read twice and never written or shuffled."""
+    names = [f"__{k}" for k in range(len(docs.columns))]
+    text = names[docs.columns.index(text_col)]
+    plain = docs.toDF(*names)
+    seen = _counted(_voted(measured(plain.select(F.lit(0).alias("__id"), text), "__id", text)))
+    out = _decided(_voted(measured(plain, names[0], text, tuple(names[1:]))), posterior(seen), threshold)
+    return out.filter("kept").select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns)])
