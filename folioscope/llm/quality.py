@@ -138,7 +138,7 @@ def votes() -> dict[str, Column]:
     symbols, shouts, mean = F.col("n_symbols") / words, F.col("n_shouts") / words, F.col("word_chars") / words
     upper, repeats, copies = F.col("n_upper") / letters, F.col("n_repeat_words") / words, F.col("n_dup_lines") / lines
     stutter = F.col("n_stutters") / words
-    plain = (F.col("n_words") >= 10) & mean.between(3, 9) & (symbols < 0.03) & (upper < 0.2) & (repeats < 0.15) & (stutter < 0.15)
+    plain = (F.col("n_words") >= 10) & mean.between(2.5, 10) & (symbols < 0.1) & (upper < 0.35) & (repeats < 0.25) & (stutter < 0.2)
     return {
         "symbols": _vote(symbols > 0.15),
         "capitals": _vote(upper > 0.4),
@@ -222,7 +222,7 @@ def kept_documents(docs: DataFrame, text_col: str = "text", threshold: float = 0
     """The documents that are kept, with all their columns; texts are read twice and never written or shuffled."""
     names = [f"__{k}" for k in range(len(docs.columns))]
     text = names[docs.columns.index(text_col)]
-    plain = docs.toDF(*names)
+    plain = (F.col("n_words") >= 10) & mean.between(2.5, 10) & (symbols < 0.1) & (upper < 0.35) & (repeats < 0.25) & (stutter < 0.2)
     seen = _counted(_voted(measured(plain.select(F.lit(0).alias("__id"), text), "__id", text)))
     out = _decided(_voted(measured(plain, names[0], text, tuple(names[1:]))), posterior(seen), threshold)
     return out.filter("kept").select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns)])
