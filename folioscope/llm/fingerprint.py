@@ -204,7 +204,8 @@ def edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
                 # of the copies at the end of a range only the first follows its last row
                 now = None if role[k] else after
             if out:
-                yield pa.RecordBatch.from_pandas(pd.DataFrame(out, columns=names), preserve_index=False)
+                types = [part.schema.field(3).type, pa.int64(), *[pa.string()] * 3, pa.float64(), pa.float64()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
 
     schema = f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     return _placed(docs, id_col, text_col).mapInArrow(run, schema)

@@ -231,6 +231,15 @@ def features(column: pa.Array, model: Model) -> np.ndarray:
     return out
 
 
+def _sign(hashes: np.ndarray) -> int:
+    """The smallest hash of three neighbouring units: copies and most near copies of a text share it."""
+    with np.errstate(over="ignore"):
+        wide = hashes[:-2] + hashes[1:-1] * np.uint64(0x9E3779B97F4A7C15) + hashes[2:] * np.uint64(0xD6E8FEB86659FD93)
+        if not len(wide):
+            wide = hashes.sum(keepdims=True, dtype=np.uint64)
+    return int(_text.mix(wide).min().view(np.int64))
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
@@ -280,7 +289,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 for k in range(hi - lo):
                     held = np.unique(own.which[own.first[k] : own.first[k + 1]])
                     if len(held):
-                        sign = int(hashes[held].min().view(np.int64))
+                        sign = _sign(hashes[own.which[own.first[k] : own.first[k + 1]]])
                         yield pa.RecordBatch.from_pydict(
                             {"unit": pa.array(names[held], pa.string()), "toxic": pa.array(np.full(len(held), toxic[lo + k], np.int32)), "sign": pa.array(np.full(len(held), sign, np.int64))}
                         )
