@@ -118,6 +118,17 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tu
     return span_hash(prefix_sums(data, lower), begin, end), first
 
 
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct keys, a place of each, and which key stands where."""
+    order = np.argsort(keys)
+    in_order = keys[order]
+    fresh = np.ones(len(keys), bool)
+    np.not_equal(in_order[1:], in_order[:-1], out=fresh[1:])
+    which = np.empty(len(keys), np.int64)
+    which[order] = np.cumsum(fresh) - 1
+    return in_order[fresh], order[fresh], which
+
+
 _SHINGLE = np.array([pow(0xD6E8FEB86659FD93, k, 2**64) for k in range(64)], np.uint64)
 
 
