@@ -104,20 +104,22 @@ def features(data: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """Features of every whole text."""
+    """Features of every whole text; the id and the ``keep`` columns pass through, the text moves once."""
     _spark.ship(docs.sparkSession)
     names = [id_col, *keep]
+    passes = text_col in names and docs.schema[text_col].dataType.simpleString() == "string"
+    place = names.index(text_col) if passes else len(names)
 
     def run(parts):
         for part in parts:
-            data, offsets = _text.buffers(part.column(part.num_columns - 1))
+            data, offsets = _text.buffers(part.column(place))
             out = np.zeros((part.num_rows, len(FEATURES)), np.int64)
             for lo, hi, own, at in _text.pieces(data, offsets):
                 out[lo:hi] = features(own, at)
-            yield pa.RecordBatch.from_arrays([*part.columns[:-1], *[pa.array(out[:, k]) for k in range(len(FEATURES))]], names=[*names, *FEATURES])
+            yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], *[pa.array(out[:, k]) for k in range(len(FEATURES))]], names=[*names, *FEATURES])
 
     schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names] + [f"{c} long" for c in FEATURES])
-    return docs.select(*names, F.col(text_col).cast("string").alias("__text")).mapInArrow(run, schema)
+    return docs.select(*names, *([] if passes else [F.col(text_col).cast("string").alias("__text")])).mapInArrow(run, schema)
 
 
 def _vote(bad: Column, good: Column | None = None) -> Column:
