@@ -185,3 +185,82 @@ def web_source(c: Column) -> Column:
 
 def thesis_url(c: Column) -> Column:
     return c.rlike(r"(?i)(?:thes[ie]s|dissertation|etd)[^/]*(?:$|[/?#.])")
+
+
+def isbn_in(c: Column) -> Column:
+    """The first ISBN-13 of a text, digits only; empty if there is none."""
+    return F.regexp_replace(F.regexp_extract(c, r"(97[89](?:[\s-]?[0-9]){10})", 1), r"[\s-]", "")
+
+
+def inspire_recid(c: Column) -> Column:
+    return F.regexp_extract(c, r"(?i)inspirehep\.net/(?:literature|record|api/literature)/([0-9]+)", 1)
+
+
+def arxiv_version(c: Column) -> Column:
+    """The version that is cited with an arXiv number, or null."""
+    return F.try_to_number(F.nullif(F.regexp_extract(c, r"(?i)(?:[0-9]{4}\.[0-9]{4,5}|/[0-9]{7})v([0-9]{1,3})", 1), F.lit("")), F.lit("999")).cast("int")
+
+
+def placeholder_doi(c: Column) -> Column:
+    return bare_doi(c).rlike(r"^10\.1103/physrev[a-z]*\.0+")
+
+
+def book_series_doi(c: Column) -> Column:
+    return bare_doi(c).rlike(r"^10\.(?:1007/978|1007/bfb|1016/b978|1142/978|1201/978)")
+
+
+def release_title(c: Column) -> Column:
+    """A software title without its repository prefix and version suffix."""
+    return F.trim(F.regexp_replace(F.regexp_replace(c, r"^[\w.-]+/[\w.-]+:\s*", ""), r"(?i)[\s,:(]+v?[0-9]+(?:\.[0-9]+)+\)?$", ""))
+
+
+def transient(status: Column) -> Column:
+    """HTTP results that may differ on another try: throttled, no answer, server errors."""
+    return status.isin(429, -1) | status.between(500, 599)
+
+
+_RELATED = (
+    ("retraction", r"(?i)^(?:retract(?:ed|ion)|withdraw(?:n|al))\b|\bretraction (?:note|notice)\b"), ("erratum", r"(?i)^(?:erratum|errata)\b"), ("corrigendum", r"(?i)^(?:corrigendum|correction)\b"),
+    ("addendum", r"(?i)^addendum\b"), ("concern", r"(?i)expression of concern"), ("reply", r"(?i)^(?:reply|response|author'?s? reply) (?:to|on)\b"), ("comment", r"(?i)^comments? on\b"), ("review", r"(?i)^review of\b"),
+)
+
+
+def related_label(title: Column) -> Column:
+    """What a title says of its relation to another work; null if nothing."""
+    out = F.lit(None).cast("string")
+    for label, pattern in reversed(_RELATED):
+        out = F.when(title.rlike(pattern), label).otherwise(out)
+    return out
+
+
+DOCUMENT_TYPES = {
+    "journal-article": "article", "proceedings-article": "inproceedings", "book": "book", "monograph": "book", "edited-book": "collection", "book-chapter": "incollection", "dissertation": "thesis",
+    "posted-content": "preprint", "report": "report", "dataset": "dataset", "software": "software", "text": "article", "preprint": "preprint", "conferencepaper": "inproceedings",
+}
+
+
+def document_type(c: Column) -> Column:
+    return F.element_at(F.create_map(*[F.lit(x) for kv in DOCUMENT_TYPES.items() for x in kv]), F.lower(c))
+
+
+def preprint() -> Column:
+    """An entry that cites a preprint: an eprint, or arXiv in its journal or DOI."""
+    return filled("eprint") | F.contains(F.lower(field("journal")), F.lit("arxiv")) | F.contains(F.lower(field("doi")), F.lit("arxiv"))
+
+
+def preprint_container(c: Column) -> Column:
+    return F.regexp_replace(F.lower(c), "[^a-z]", "").isin("arxiv", "ssrn", "biorxiv", "medrxiv", "chemrxiv", "researchsquare", "preprints", "hal", "zenodo", "ssrnelectronicjournal")
+
+
+def has_markup(c: Column) -> Column:
+    return c.rlike(r"(?i)</?(?:i|b|sub|sup|scp|mml:[a-z]+|math)\b[^>]*>|&(?:lt|gt|amp);")
+
+
+def without_markup(c: Column) -> Column:
+    return F.trim(F.regexp_replace(F.regexp_replace(c, r"(?is)<[^<>]*>", ""), r"\s+", " "))
+
+
+def given_verdict(a: Column, b: Column) -> Column:
+    """same, abbreviates, refines, or differs: the first name against the second."""
+    x, y = (F.regexp_replace(deaccent(clean_tex(c)), "[^a-z]", "") for c in (a, b))
+    return F.when((x == "") | (y == ""), None).when(x == y, "same").when(F.startswith(y, x), "abbreviates").when(F.startswith(x, y), "refines").otherwise("differs")

@@ -42,16 +42,31 @@ class many:
         self.column = column
 
 
+_has: dict[str, Column] = {}
+
+
 def has(name: str) -> Column:
-    """Filled under its own name or a legacy one."""
+    """Filled under its own name or a legacy one; built once for a set of rules."""
+    if name not in _has:
+        _has[name] = _filled_under(name)
+    return _has[name]
+
+
+def _filled_under(name: str) -> Column:
     names = {name} | {b for a, b in C.FIELD_ALIASES.items() if a == name} | {a for a, b in C.FIELD_ALIASES.items() if b == name}
     return reduce(lambda a, b: a | b, [T.filled(n) for n in sorted(names)])
 
 
-etype = F.col("etype")
-canonical = F.coalesce(F.element_at(C.map_of(C.TYPE_ALIASES), etype), etype)
-article = canonical == "article"
-book_like = canonical.isin("book", "mvbook", "collection", "inbook", "incollection", "proceedings")
+def etype() -> Column:
+    return F.col("etype")
+
+
+def canonical() -> Column:
+    return F.coalesce(F.element_at(C.map_of(C.TYPE_ALIASES), etype()), etype())
+
+
+def article() -> Column:
+    return canonical() == "article"
 
 
 @rule
@@ -59,13 +74,13 @@ def required_fields(s: Settings) -> list[Column]:
     inherits = T.filled("crossref") | T.filled("xref")
     out = []
     for kind, slots in {**C.MANDATORY, None: [["title"]]}.items():
-        own = ~canonical.isin(*C.MANDATORY) if kind is None else canonical == kind
+        own = ~canonical().isin(*C.MANDATORY) if kind is None else canonical() == kind
         for slot in slots:
             lacks = own & ~inherits & ~reduce(lambda a, b: a | b, [has(f) for f in slot])
             shown = " or ".join(slot)
             supplied = [a for a, f in C.SUPPLIED if f in slot and C.TYPE_ALIASES.get(a) == kind]
             if supplied:
-                lacks = lacks & ~etype.isin(*supplied)
+                lacks = lacks & ~etype().isin(*supplied)
             if (kind, slot[0]) in C.ADVISED:
                 out.append(hit(lacks, "datamodel_recommended", "note", slot[0], f"a {kind} usually has the field {shown}"))
             elif kind in ("book", "mvbook") and slot == ["author"]:
@@ -74,12 +89,12 @@ def required_fields(s: Settings) -> list[Column]:
             else:
                 out.append(hit(lacks, "missing_field", "error", slot[0], f"the mandatory field {shown} is empty"))
     dated = has("year") | has("date")
-    out.append(hit(~inherits & ~dated & ~canonical.isin("misc", "online", "software", "dataset"), "missing_recommended", "warning", "year", "neither year nor date is given"))
+    out.append(hit(~inherits & ~dated & ~canonical().isin("misc", "online", "software", "dataset"), "missing_recommended", "warning", "year", "neither year nor date is given"))
     venue, linked = has("journaltitle") | T.filled("eprint"), T.filled("url") | T.filled("howpublished")
     url = T.field("url")
     isbn = T.filled("isbn")
-    out.append(hit(~inherits & article & isbn & ~has("journaltitle"), "entrytype_suggestion", "warning", "journal", "an ISBN and no journal: the type book may fit"))
-    rest = ~inherits & article & ~(isbn & ~has("journaltitle"))
+    out.append(hit(~inherits & article() & isbn & ~has("journaltitle"), "entrytype_suggestion", "warning", "journal", "an ISBN and no journal: the type book may fit"))
+    rest = ~inherits & article() & ~(isbn & ~has("journaltitle"))
     out.append(hit(rest & T.thesis_url(url), "entrytype_suggestion", "warning", "journal", "the address is that of a thesis: the type thesis may fit"))
     rest = rest & ~T.thesis_url(url)
     out.append(hit(rest & T.web_source(url), "entrytype_suggestion", "warning", "journal", "the address is a web or press item: the type online may fit"))
@@ -88,7 +103,7 @@ def required_fields(s: Settings) -> list[Column]:
     out.append(hit(rest & ~venue & ~linked, "missing_field", "error", "journal", "an article needs a journal or an eprint"))
     located = T.filled("pages") | T.filled("eid") | has("number") | T.filled("doi") | T.filled("eprint")
     out.append(hit(rest & has("journaltitle") & ~T.filled("volume") & ~T.filled("doi") & ~T.filled("eprint"), "missing_locator", "note", "volume", "a journal article without volume"))
-    out.append(hit(rest & has("journaltitle") & T.filled("volume") & ~located, "missing_locator", "note", "pages", "a journal article without pages or article number"))
+    out.append(hit(rest & has("journaltitle") & T.filled("volume") & ~located, "missing_locator", "note", "pages", "a journal article without pages or article() number"))
     return out
 
 
@@ -119,7 +134,7 @@ def duplicate_field(s: Settings) -> list[Column]:
 
 @rule
 def entry_type_known(s: Settings) -> list[Column]:
-    return [hit(~etype.isin(*C.KNOWN_TYPES), "syntax", "error", None, F.concat(F.lit("unknown entry type "), etype))]
+    return [hit(~etype().isin(*C.KNOWN_TYPES), "syntax", "error", None, F.concat(F.lit("unknown entry type "), etype()))]
 
 
 @rule
@@ -128,7 +143,7 @@ def biblatex_field_validity(s: Settings) -> list[Column]:
     out = []
     for kind, legal in table.items():
         odd = F.array_sort(F.array_except(F.map_keys("fields"), F.array(*map(F.lit, legal))))
-        out.append(hit((canonical == kind) & (F.size(odd) > 0), "biblatex_validity", "note", None, F.concat(F.lit("fields that this type doesn't have: "), F.array_join(odd, ", "))))
+        out.append(hit((canonical() == kind) & (F.size(odd) > 0), "biblatex_validity", "note", None, F.concat(F.lit("fields that this type doesn't have: "), F.array_join(odd, ", "))))
     return out
 
 
@@ -275,7 +290,7 @@ def identifier_in_url(s: Settings) -> list[Column]:
 
 @rule
 def online_needs_urldate(s: Settings) -> list[Column]:
-    online = canonical.isin("online") | T.web_source(T.field("url"))
+    online = canonical().isin("online") | T.web_source(T.field("url"))
     return [hit(online & T.filled("url") & ~T.filled("urldate") & ~T.filled("doi") & ~T.filled("eprint"), "style", "note", "urldate", "a web source without the day it was read")]
 
 
@@ -305,6 +320,7 @@ def identifier_formats(s: Settings) -> list[Column]:
 def entry_findings(entries: DataFrame, settings: Settings | None = None, only: list[str] | None = None) -> DataFrame:
     """(file_id, entry_seq, key, lineno, emit_seq, rule, category, severity, field, message, suggested, layer)."""
     settings = settings or Settings()
+    _has.clear()
     parts = []
     for name, build in RULES.items():
         if only is None or name in only:

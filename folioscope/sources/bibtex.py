@@ -13,6 +13,7 @@ ENTRY_SCHEMA = (
     "file_id string, entry_seq int, key string, etype string, fields map<string,string>, "
     "occurrences array<struct<name:string,value:string>>, field_lines map<string,int>, lineno int, raw string, kind string, message string"
 )
+_COLUMNS = ["file_id", "entry_seq", "key", "etype", "fields", "occurrences", "field_lines", "lineno", "raw", "kind", "message"]
 _HEAD = re.compile(r"@\s*([A-Za-z_]\w*)\s*([{(])")
 _NAME = re.compile(r"[A-Za-z][\w:+.-]*")
 _SKIPPED = {"comment", "preamble"}
@@ -21,8 +22,8 @@ _SKIPPED = {"comment", "preamble"}
 def read_files(spark: SparkSession, path: str, pattern: str = "*.bib") -> DataFrame:
     """(file_id, text): UTF-8, else Latin-1; files that hold NUL bytes give a null text."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path)
-    text = F.when(F.is_valid_utf8(F.col("content").cast("string")), F.decode("content", F.lit("UTF-8"))).otherwise(F.decode("content", F.lit("ISO-8859-1")))
-    return raw.select(F.col("path").alias("file_id"), F.when(F.instr(F.hex("content"), "00") % 2 != 1, text).otherwise(F.when(F.instr(text, "\0") == 0, text)).alias("text"))
+    text = F.when(F.is_valid_utf8(F.col("content").cast("string")), F.decode("content", "UTF-8")).otherwise(F.decode("content", "ISO-8859-1"))
+    return raw.select(F.col("path").alias("file_id"), F.when(F.instr(text, "\0") == 0, text).alias("text"))
 
 
 def _uncommented(text: str) -> str:
@@ -116,7 +117,7 @@ def _fields(body: str, macros: dict[str, str]) -> tuple[list[tuple[str, str, int
         after = _skip(body, m.end())
         if body[after : after + 1] == "=":
             value, end = reader.value(after + 1)
-            found.append((m[0].lower(), re.sub(r"\s+", " ", value).strip(), m.start()))
+            found.append((m[0].lower(), re.sub(r"\s+", " ", value), m.start()))
             at = end
         elif body[after : after + 1] in ("{", '"'):
             broken.append((m[0].lower(), m.start()))
@@ -155,8 +156,8 @@ def parse(text: str, file_id: str = "") -> Iterator[dict]:
             for name, _, offset in found:
                 lines.setdefault(name, line(base + offset))
             yield {
-                "file_id": file_id, "entry_seq": seq, "key": key.strip(), "etype": kind, "fields": {n: v for n, v, _ in found},
-                "occurrences": [{"name": n, "value": v} for n, v, _ in found], "field_lines": lines, "lineno": line(m.start()),
+                "file_id": file_id, "entry_seq": seq, "key": key.strip(), "etype": kind, "fields": {n: v.strip() for n, v, _ in found},
+                "occurrences": [{"name": n, "value": v.strip()} for n, v, _ in found], "field_lines": lines, "lineno": line(m.start()),
                 "raw": text[m.start() : end + 1], "kind": None, "message": None,
             }
             seq += 1
@@ -180,9 +181,8 @@ def parse_files(files: DataFrame) -> DataFrame:
                     rows.append({"file_id": file_id, "kind": "binary", "message": "the file isn't text", "lineno": 1})
                 else:
                     rows.extend(parse(text, file_id))
-            frame = pd.DataFrame(rows, columns=[c.strip().split(" ")[0] for c in re.split(r",(?![^<]*>)", ENTRY_SCHEMA)])
-            frame["entry_seq"], frame["lineno"] = frame["entry_seq"].astype("Int32"), frame["lineno"].astype("Int32")
-            yield frame
+            # columns of objects, so that a missing map stays null and a missing number doesn't become a fraction
+            yield pd.DataFrame({c: pd.Series([row.get(c) for row in rows], dtype=object) for c in _COLUMNS})
 
     return files.select("file_id", "text").mapInPandas(run, ENTRY_SCHEMA)
 
