@@ -99,9 +99,9 @@ def last_write_wins(spark, sf_dir):
 @query("""WITH t AS (SELECT DISTINCT event_type FROM events), s AS (SELECT DISTINCT user_id, event_type FROM events)
 SELECT u.user_id, t.event_type AS todo FROM (SELECT DISTINCT user_id FROM events) u CROSS JOIN t ANTI JOIN s ON s.user_id = u.user_id AND s.event_type = t.event_type""")
 def phase_todo(spark, sf_dir):
-    """Phases that a user's events haven't reached; the phases are few and gathered as one array."""
+    """Phases that a user's events haven't reached; the phases are a dimension of a few names, gathered as one array."""
     seen = table(spark, sf_dir, "events").groupBy("user_id").agg(F.collect_set("event_type").alias("seen"))
-    phases = sorted(r[0] for r in table(spark, sf_dir, "events").select("event_type").distinct().limit(1000).collect() if r[0] is not None)
+    phases = table(spark, sf_dir, "events").agg(F.array_sort(F.collect_set("event_type"))).first()[0]
     every = F.array(*map(F.lit, phases)) if phases else F.array().cast("array<string>")
     return seen.select("user_id", F.explode(F.array_except(every, "seen")).alias("todo"))
 
