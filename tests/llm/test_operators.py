@@ -155,6 +155,15 @@ def test_attention_is_a_distribution_and_scores_each_token_once():
     assert abs(np.exp(every).sum() - 1) < 1e-3
 
 
+def test_most_frequent_pieces_are_classes_of_their_own():
+    rng = np.random.default_rng(6)
+    counts = np.arange(600, 0, -1).astype(float)
+    ids = rng.integers(0, 600, 20_000)
+    classes, share = attention.make_classes(counts, np.arange(600) % 2 == 0, ids[:-1], ids[1:])
+    alone = np.bincount(classes, minlength=attention.CLASSES)[classes] == 1
+    assert alone[:104].all() and np.allclose(share[:104], 0) and len(np.unique(classes)) > 150
+
+
 def test_fingerprints(docs, empty, repeated, texts):
     got = {r.doc_id: r for r in fingerprint.edited(docs).collect()}
     order = sorted(got, reverse=True)
