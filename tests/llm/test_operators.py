@@ -135,6 +135,32 @@ def test_lm(docs, empty, texts, monkeypatch):
     assert lm.score(empty, piece_model()).count() == 0
 
 
+def test_lm_knows_contexts_outside_the_sample(spark, monkeypatch):
+    """Pairs of words that the few sampled documents don't hold are learned from the counts of all documents."""
+    monkeypatch.setattr(lm, "TRAIN_ROWS", 3)
+    rng = np.random.default_rng(8)
+    plain = ["the", "of", "and", "river", "stone", "winter", "light"]
+    left = ["garden", "window", "market", "paper", "letter", "village", "father", "mother", "doctor", "teacher"]
+    right = ["green", "yellow", "heavy", "little", "strong", "ancient", "modern", "silent", "open", "narrow"]
+    rows = []
+    for i in range(300):
+        text = list(rng.choice(plain, 30))
+        for _ in range(2):
+            k = rng.integers(10)
+            text[rng.integers(10) : 0] = [left[k], right[k]]
+        rows.append((i, " ".join(text)))
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    scorer, _ = lm.fit(table, piece_model())
+    context = scorer.context
+    x = int(context.keys[np.argmax(context.n)] // context.size)
+    assert abs(context.given(x * context.size + np.arange(context.size)).sum() - 1) < 1e-3
+    assert context.n.sum() == context.seen.sum()
+    held = [i for i in range(1000, 2000) if zlib.crc32(str(i).encode()) % 5 == 1][:20]
+    own = [f"{left[k]} {right[k]}" for k in range(10)] + [f"{left[k]} {right[(k + 3) % 10]}" for k in range(10)]
+    got = {r.doc_id: r.score for r in lm.score(table.unionByName(spark.createDataFrame(list(zip(held, own)), "doc_id long, text string")), piece_model()).collect()}
+    assert np.mean([got[i] for i in held[:10]]) > np.mean([got[i] for i in held[10:]]) + 0.7
+
+
 def test_attention_is_a_distribution_and_scores_each_token_once():
     rng = np.random.default_rng(0)
     n = 300
