@@ -15,16 +15,18 @@ a subsequence: scoring costs the same however many landmarks there are.  A logis
 highest unit score and its number of positive units gives the probability.
 
 Bounded parameters: the classifier is fitted on at most ``TOXIC_ROWS`` toxic and ``CLEAN_ROWS`` clean
-labelled rows, chosen by a hash of the id.  Every text is scored whole.
+distinct labelled texts, chosen by a hash of the id; shares of documents are shares of distinct sketches.
+Every text is scored whole.
 
 Defined results: null, empty and blank texts score as a document without units; labels that are null are
 ignored, and of repeated labels of an id the highest counts; with no toxic or no clean label every score is
-0; repeated rows score alike; an empty table gives an empty table; other columns are ignored.
+0; where no unit tells the classes apart a warning is given and every score is the share of toxic labels; repeated rows score alike; an empty table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
+import warnings
 from dataclasses import dataclass
 
 import numpy as np
@@ -272,8 +274,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     sizes = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes.get(0) or not sizes.get(1):
         return None
-    order = F.xxhash64("id", F.lit(11))
-    chosen = known.filter("toxic = 1").orderBy(order, "id").limit(toxic_rows).unionByName(known.filter("toxic = 0").orderBy(order, "id").limit(clean_rows))
+    # copies of a text are one candidate, so that they can't fill the sample; only ids and hashes move
+    hashed = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("h"))
+    rank = F.struct(F.xxhash64("id", F.lit(11)).alias("rank"), "id")
+    texts = _spark.stored(known.join(hashed, "id").groupBy("toxic", "h").agg(F.min(rank).alias("m")).select("toxic", "m.rank", "m.id"), "texts")
+    pick = lambda kind, rows: texts.filter(F.col("toxic") == kind).orderBy("rank", "id").limit(rows).select("id", "toxic").distinct()
+    chosen = pick(1, toxic_rows).unionByName(pick(0, clean_rows))
     # at most toxic_rows + clean_rows rows
     sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(_spark.stored(chosen, "chosen")), "id")
     sample = _spark.stored(sample.select("id", "toxic", "text"), "sample")
@@ -294,18 +300,25 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                             {"unit": pa.array(names[held], pa.string()), "toxic": pa.array(np.full(len(held), toxic[lo + k], np.int32)), "sign": pa.array(np.full(len(held), sign, np.int64))}
                         )
 
-    seen = sample.mapInArrow(spread, "unit string, toxic int, sign long").distinct()
-    total = sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n"))
-    sizes = {r["toxic"]: r["n"] for r in total.collect()}
+    seen = _spark.stored(sample.mapInArrow(spread, "unit string, toxic int, sign long").distinct(), "seen")
+    # sketches as in the units' counts, not rows
+    sizes = {r["toxic"]: r["n"] for r in seen.groupBy("toxic").agg(F.countDistinct("sign").alias("n")).collect()}
     if not sizes.get(0) or not sizes.get(1):
         return None
     table = _spark.stored(seen.groupBy("unit").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c")), "units")
     odds = ((F.col("t") + 0.5) / (sizes[1] + 1.0)) / ((F.col("c") + 0.5) / (sizes[0] + 1.0))
     enough = max(5, math.ceil(0.01 * sizes[1]))
-    marked = table.filter((F.col("t") >= enough) & (odds >= 10) & (F.length("unit") >= 3))
-    positive = {r["unit"]: float(r["t"]) for r in marked.orderBy(F.col("t").desc(), "unit").limit(POSITIVE).collect()}
+    positive = {}
+    # where no unit stands out as asked, rarer ones are taken before nothing is
+    for least in dict.fromkeys([enough, 5, 2, 1]):
+        marked = table.filter((F.col("t") >= least) & (odds >= 10) & (F.length("unit") >= 3))
+        positive = {r["unit"]: float(r["t"]) for r in marked.orderBy(F.col("t").desc(), "unit").limit(POSITIVE).collect()}
+        if positive:
+            break
+    everyone = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not positive:
-        return None
+        warnings.warn("no unit tells toxic from clean documents; every score is the share of toxic labels", stacklevel=2)
+        return Model(np.zeros(KEYS, np.float32), -1.0, np.array([math.log(everyone[1] / everyone[0]), 0.0, 0.0]))
     clean = table.filter((F.col("c") > 0) & (odds < 3))
     negative = [r["unit"] for r in clean.orderBy(F.xxhash64("unit"), "unit").limit(NEGATIVE).collect()]
     negative += [r["unit"] for r in clean.orderBy(F.col("c").desc(), "unit").limit(NEGATIVE // 6).collect()]
@@ -328,7 +341,6 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     got = sample.mapInArrow(measure, "toxic int, top double, hits double").toPandas()
     y = got["toxic"].to_numpy(float)
-    everyone = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     share = np.where(y > 0, everyone[1] / max(y.sum(), 1), everyone[0] / max((1 - y).sum(), 1))
     x = np.column_stack([np.ones(len(got)), got["top"], got["hits"]])
     model.curve = fit_curve(x, y, share / share.mean())

@@ -121,6 +121,19 @@ def test_toxicity(spark, docs, empty):
     assert toxicity.clean_documents(docs, model).columns == docs.columns
 
 
+def test_toxicity_with_many_copies_of_one_text(spark):
+    rng = np.random.default_rng(7)
+    plain = ["river", "stone", "winter", "light", "quiet", "letters", "garden", "window", "market", "paper"]
+    insults = ["blorgface", "zixnut", "quomper", "vexhund", "drabwick", "jolbrek", "mizzlop", "gruntax", "fleembo", "skarnog"]
+    text = lambda *more: " ".join(rng.permutation([*rng.choice(plain, 20), *more]))
+    copy = text("wurgle")
+    rows = [(i, text(insults[i % 10]), 1) for i in range(150)] + [(i, copy, 1) for i in range(150, 2150)] + [(i, text(), 0) for i in range(2150, 3150)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, toxic int").repartition(4).cache()
+    model = toxicity.fit(table, table, toxic_rows=200, clean_rows=400)
+    got = {r.doc_id: r.predicted for r in toxicity.score(table, model).collect()}
+    assert np.mean([got[i] for i in range(150)]) > 0.95 and np.mean([got[i] for i in range(2150, 3150)]) < 0.05
+
+
 def test_lm(docs, empty, texts, monkeypatch):
     monkeypatch.setattr(lm, "HEAD", 20)  # so that most words take the way of rare words
     got = {r.doc_id: r for r in lm.score(docs, piece_model()).collect()}
