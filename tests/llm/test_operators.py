@@ -150,7 +150,7 @@ def test_lm(docs, empty, texts, monkeypatch):
 
 def test_lm_knows_contexts_outside_the_sample(spark, monkeypatch):
     """Pairs of words that the few sampled documents don't hold are learned from the counts of all documents."""
-    monkeypatch.setattr(lm, "TRAIN_ROWS", 3)
+    monkeypatch.setattr(lm, "TRAIN_BLOCKS", 8)
     rng = np.random.default_rng(8)
     plain = ["the", "of", "and", "river", "stone", "winter", "light"]
     left = ["garden", "window", "market", "paper", "letter", "village", "father", "mother", "doctor", "teacher"]
@@ -163,7 +163,7 @@ def test_lm_knows_contexts_outside_the_sample(spark, monkeypatch):
             text[rng.integers(10) : 0] = [left[k], right[k]]
         rows.append((i, " ".join(text)))
     table = spark.createDataFrame(rows, "doc_id long, text string")
-    scorer, _ = lm.fit(table, piece_model())
+    scorer, _, _ = lm.fit(table, piece_model())
     context = scorer.context
     x = int(context.keys[np.argmax(context.n)] // context.size)
     assert abs(context.given(x * context.size + np.arange(context.size)).sum() - 1) < 1e-3
@@ -194,13 +194,45 @@ def test_attention_is_a_distribution_and_scores_each_token_once():
     assert abs(np.exp(every).sum() - 1) < 1e-3
 
 
+def test_attention_against_brute_force():
+    """Every token by loops over positions, groups and members, in double precision."""
+    rng = np.random.default_rng(11)
+    n = 60
+    counts = rng.integers(1, 50, n).astype(float)
+    ids = rng.integers(0, n, 70)
+    classes, share = attention.make_classes(counts, np.arange(n) % 2 == 0, ids[:-1], ids[1:])
+    first = np.array([0, 3, 70])
+    x, y, fresh, place = attention.layout(first, ids.astype(np.int32), 1)
+    used = np.zeros(x.size, bool)
+    used[place] = True
+    net = attention.train(x, np.roll(x, 1, 0), fresh, y, used.reshape(x.shape), counts, classes, share, epochs=3)
+    p = {k: v.astype(float) for k, v in net.p.items()}
+    got = net.score(x, y, fresh).reshape(-1)[place]
+    for d in range(2):
+        own = [1, *ids[first[d] : first[d + 1]].tolist()]
+        for t in range(len(own) - 1):
+            since = max(0, (t // attention.BLOCK - 1) * attention.BLOCK)
+            seen = range(since, t + 1)
+            q = p["e"][own[t]] @ p["q"]
+            a = np.array([q @ (p["e"][own[j]] @ p["k"]) / math.sqrt(attention.WIDTH) + p["near"][t - j] for j in seen])
+            a = np.exp(a - a.max())
+            o = sum(w * (p["e"][own[j]] @ p["v"]) for w, j in zip(a / a.sum(), seen))
+            h = np.clip(p["e"][own[t]] @ p["x"] + o @ p["o"] + p["h"], 0, attention.TOP)
+            g, m = divmod(int(classes[own[t + 1]]), attention.MEMBERS)
+            want = share[own[t + 1]]
+            for z, k in ((h @ p["c"] + p["b"], g), (h @ p["c2"][g] + p["b2"][g], m)):
+                want += z[k] - math.log(np.exp(z).sum())
+            assert abs(want - got[first[d] + t]) < 1e-3
+
+
 def test_most_frequent_pieces_are_classes_of_their_own():
     rng = np.random.default_rng(6)
-    counts = np.arange(600, 0, -1).astype(float)
-    ids = rng.integers(0, 600, 20_000)
-    classes, share = attention.make_classes(counts, np.arange(600) % 2 == 0, ids[:-1], ids[1:])
+    counts = np.arange(2000, 0, -1).astype(float)
+    ids = rng.integers(0, 2000, 40_000)
+    classes, share = attention.make_classes(counts, np.arange(2000) % 2 == 0, ids[:-1], ids[1:])
     alone = np.bincount(classes, minlength=attention.CLASSES)[classes] == 1
-    assert alone[:104].all() and np.allclose(share[:104], 0) and len(np.unique(classes)) > 150
+    single = attention.SINGLES
+    assert alone[:single].all() and np.allclose(share[:single], 0) and len(np.unique(classes)) > single + 300
 
 
 def test_fingerprints(docs, empty, repeated, texts):
@@ -371,6 +403,8 @@ def test_pieces_of_words_join_to_the_text():
 
     data, at = _text.buffers(column)
     run = lm.read_run(data, at, reader)
-    ids, first = lm.expand(run, reader)
+    again = lm.Run.unpacked([pa.scalar(b) for b in run.packed()])
+    ids, first = again.pieces()
+    assert np.array_equal(ids, run.pieces()[0])
     assert reader.codec.decode(ids[: first[1]].tolist()) == "hello world again" and np.diff(first).tolist()[1:3] == [1, 1]
     assert F is not None
