@@ -3,20 +3,27 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
+import re
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (``spark.checkpoint.dir``); a local one only where none is set."""
+    """The folder all executors share (``spark.checkpoint.dir``); a local one only in local mode where none is set."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="folioscope-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -47,6 +54,45 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_caches: list[Callable[[], None]] = []
+_stage: list[int] = [-1]
+
+
+def forgets(clear: Callable[[], None]) -> None:
+    """Registers what a worker drops when it begins another stage."""
+    _caches.append(clear)
+
+
+def _begin() -> None:
+    context = TaskContext.get()
+    stage = context.stageId() if context else -1
+    if stage != _stage[0]:
+        _stage[0] = stage
+        for clear in _caches:
+            clear()
+
+
+def _release() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except OSError:
+        return
+
+
+def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """``mapInArrow`` whose workers, which Spark uses again and again, don't keep the memory of earlier stages."""
+
+    def own(parts):
+        _begin()
+        try:
+            yield from run(parts)
+        finally:
+            _release()
+
+    return df.mapInArrow(own, schema)
+
+
 def ship(spark: SparkSession) -> None:
     """Makes this package importable in Python workers, wherever the driver was started."""
     app = spark.sparkContext.applicationId

@@ -12,6 +12,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from . import _spark
+
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 
@@ -22,6 +24,7 @@ BYTE_LOWER[65:91] = BYTE[97:123]
 _P = 0x9E3779B97F4A7C15 | 1
 _PINV = pow(_P, -1, 2**64)
 _powers: dict[int, np.ndarray] = {}
+_spark.forgets(_powers.clear)
 
 
 def _power(base: int, n: int) -> np.ndarray:

@@ -105,7 +105,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out, pa.string())], names=["id", "fingerprint"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, fingerprint string").withColumnRenamed("id", id_col)
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).transform(_spark.in_arrow, run, f"id {kind}, fingerprint string").withColumnRenamed("id", id_col)
 
 
 def _heads(docs: DataFrame, id_col: str) -> list:
@@ -208,7 +208,7 @@ def edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
 
     schema = f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return _placed(docs, id_col, text_col).mapInArrow(run, schema)
+    return _placed(docs, id_col, text_col).transform(_spark.in_arrow, run, schema)
 
 
 def similar_pairs(docs: DataFrame, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -232,7 +232,7 @@ def similar_pairs(docs: DataFrame, threshold: float = 0.7, id_col: str = "doc_id
 
     kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    table = _spark.stored(texts.mapInArrow(bands, f"id {kind}, band long").distinct(), "bands")
+    table = _spark.stored(texts.transform(_spark.in_arrow, bands, f"id {kind}, band long").distinct(), "bands")
     hubs = table.groupBy("band").agg(F.min("id").alias("hub"), F.max("id").alias("most")).filter("hub < most")
     pairs = table.join(hubs, "band").filter("id <> hub").select("hub", F.col("id").alias("member")).distinct()
     one, two = (texts.select(F.col("id").alias(k), F.col("text").alias(f"{k}_text")) for k in ("hub", "member"))
@@ -253,4 +253,4 @@ def similar_pairs(docs: DataFrame, threshold: float = 0.7, id_col: str = "doc_id
             own = pa.array(out, pa.float64())
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), own], names=["hub", "member", "jaccard"])
 
-    return met.mapInArrow(verify, f"hub {kind}, member {kind}, jaccard double").filter(F.col("jaccard") >= threshold).distinct()
+    return met.transform(_spark.in_arrow, verify, f"hub {kind}, member {kind}, jaccard double").filter(F.col("jaccard") >= threshold).distinct()

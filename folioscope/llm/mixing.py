@@ -43,7 +43,7 @@ def word_counts(docs: DataFrame, keep: list[str], text_col: str = "text") -> Dat
             yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(n, pa.int64())], names=[*part.schema.names[:-1], "size"])
 
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(*keep, F.col(text_col).cast("string").alias("__text")).mapInArrow(run, f"{schema}, size long")
+    return docs.select(*keep, F.col(text_col).cast("string").alias("__text")).transform(_spark.in_arrow, run, f"{schema}, size long")
 
 
 def _fill_order(pdf):

@@ -75,8 +75,7 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     kind = docs.schema[id_col].dataType.simpleString()
     text = F.col(text_col).cast("string")
-    return docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(id_col), text).alias("uid"), text.alias("text")).mapInArrow(
-        run, f"doc_id {kind}, uid long, n_shingles long, node long, sketch binary, bands array<long>"
+    return docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(id_col), text).alias("uid"), text.alias("text")).transform(_spark.in_arrow, run, f"doc_id {kind}, uid long, n_shingles long, node long, sketch binary, bands array<long>"
     )
 
 
@@ -93,7 +92,7 @@ def _likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
                 one, two = (_text.buffers(part.column(k).cast(pa.large_binary()))[0].reshape(part.num_rows, -1) for k in (4, 5))
                 yield part.select(["a", "b", "ua", "ub"]).filter(pa.array((one == two).mean(1) >= AGREE))
 
-    return met.mapInArrow(run, "a long, b long, ua long, ub long")
+    return met.transform(_spark.in_arrow, run, "a long, b long, ua long, ub long")
 
 
 def _confirmed(docs: DataFrame, pairs: DataFrame, text_col: str, id_col: str) -> DataFrame:
@@ -135,7 +134,7 @@ def _confirmed(docs: DataFrame, pairs: DataFrame, text_col: str, id_col: str) ->
                         out_b.append(b[k])
             yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
 
-    return placed.mapInArrow(run, "a long, b long")
+    return placed.transform(_spark.in_arrow, run, "a long, b long")
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

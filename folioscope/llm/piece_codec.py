@@ -31,8 +31,9 @@ from . import _spark, _text
 
 SPACE_MARK = "▁"
 _MARK = SPACE_MARK.encode()
-#: Segments whose merges a worker keeps between batches; a matter of speed alone.
-KEPT = 400_000
+#: About the bytes of merged segments that a worker keeps between batches, what an entry takes besides its texts,
+#: and the bytes of texts that are worked on at once; matters of speed and memory alone.
+KEPT_BYTES, ENTRY_BYTES, RUN_BYTES = 64 << 20, 320, 2 << 20
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
 
@@ -188,7 +189,8 @@ class PieceCodec:
         self.norm_len = np.array([1 if t == BYTE else len(p.encode()) for p, t in zip(self.pieces, self.types)], np.int64)
         self.orig_len = np.array([1 if t == BYTE else len(p.replace(SPACE_MARK, " ").encode()) for p, t in zip(self.pieces, self.types)], np.int64)
         self.surface = [self._surface(p, t) for p, t in zip(self.pieces, self.types)]
-        self._kept: tuple[dict[int, int], list[int], list[bytes], dict[int, bytes]] = ({}, [], [], {})
+        self._kept: tuple[dict[int, int], list[int], list[bytes], list[bytes], dict[int, bytes]] = ({}, [], [], [], {})
+        self._kept_bytes = 0
         self._adjacency()
 
     def _surface(self, piece: str, kind: int) -> bytes:
@@ -272,7 +274,7 @@ class PieceCodec:
         norm, align = self.normaliser(text)
         if not norm:
             return [], np.array([align[-1]], np.int64)
-        proto = self.raw.encode(norm.decode(errors="replace"), out_type="immutable_proto")
+        proto = self.raw.encode(norm.decode(errors="replace"), return_type="proto")
         ids = [p.id for p in proto.pieces]
         size = [len(p.surface.encode()) if self.types[p.id] == UNKNOWN else int(self.norm_len[p.id]) for p in proto.pieces]
         edges = np.zeros(len(ids) + 1, np.int64)
@@ -352,19 +354,20 @@ class PieceCodec:
         if not self.cuttable:
             return np.diff(self.encode(column).first)
         found = self.segments(column)
-        size, _, _ = self._known(found)
+        size, *_ = self._known(found)
         total = np.concatenate([[0], np.cumsum(size[found.which])]) if len(found.which) else np.zeros(1, np.int64)
         return total[found.first[1:]] - total[found.first[:-1]]
 
-    def _known(self, found: Segmented) -> tuple[np.ndarray, list[bytes], list[bytes] | None]:
-        """Of each segment the number of ids and the ids written out; recent ones are kept.
+    def _known(self, found: Segmented) -> tuple[np.ndarray, list[bytes], list[bytes], list[bytes] | None]:
+        """Of each segment the number of ids, the ids written out, and the original bytes of each piece; recent ones are kept.
 
-        The third part has the decoded segments, or None if every one of them decodes to its own bytes.
+        The last part has the decoded segments, or None if every one of them decodes to its own bytes.
         """
-        known, count, shown, odd = self._kept
-        if len(known) > KEPT:
+        known, count, shown, widths, odd = self._kept
+        if self._kept_bytes > KEPT_BYTES:
             for x in self._kept:
                 x.clear()
+            self._kept_bytes = 0
         place = list(map(known.get, found.keys))
         new = [k for k, at in enumerate(place) if at is None]
         spans = [found.spans[k] for k in new]
@@ -383,25 +386,34 @@ class PieceCodec:
             odd.update((base + k, plain[b[k] : b[k + 1]]) for k, span in enumerate(spans) if plain[b[k] : b[k + 1]] != span)
         count.extend(size)
         shown.extend(map(text.__getitem__, map(slice, a[:-1], a[1:])))
+        wide = self.orig_len[flat].astype(np.uint16).tobytes()
+        cuts = (2 * edges).tolist()
+        widths.extend(map(wide.__getitem__, map(slice, cuts[:-1], cuts[1:])))
+        self._kept_bytes += len(text) + len(wide) + ENTRY_BYTES * len(new)
         for k, at in enumerate(new):
             known[found.keys[at]] = place[at] = base + k
         own = None
         if odd and not odd.keys().isdisjoint(place):
             own = [odd.get(at, span) for at, span in zip(place, found.spans)]
-        return np.array(list(map(count.__getitem__, place)) or [0], np.int64), list(map(shown.__getitem__, place)), own
+        take = lambda x: list(map(x.__getitem__, place))
+        return np.array(take(count) or [0], np.int64), take(shown), take(widths), own
 
-    def digests(self, column: pa.Array) -> list[tuple[int, str, str]]:
-        """Per text, with an end id: the number of ids, SHA-256 of the ids and of the decoded text."""
+    def digests(self, column: pa.Array) -> list[tuple[int, str, str, str]]:
+        """Per text, with an end id: the number of ids, SHA-256 of the ids, of the decoded text, and of the byte spans.
+
+        Spans are hashed as 32-bit little-endian numbers: where each piece begins in the original text, then where each ends.
+        """
         if not (self.cuttable and self.own_decode):
             out = []
             got = self.encode(column, True)
             for k in range(len(column)):
                 ids = got.ids[got.first[k] : got.first[k + 1]].tolist()
-                out.append((len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(self.decode(ids).encode()).hexdigest()))
+                spans = b"".join(x[got.first[k] : got.first[k + 1]].astype("<i4").tobytes() for x in (got.begin, got.end))
+                out.append((len(ids), *(hashlib.sha256(x).hexdigest() for x in (" ".join(map(str, ids)).encode(), self.decode(ids).encode(), spans))))
             return out
         found = self.segments(column)
         data, offsets = _text.buffers(column)
-        size, shown, plain = self._known(found)
+        size, shown, widths, plain = self._known(found)
         total = np.concatenate([[0], np.cumsum(size[found.which])]) if len(found.which) else np.zeros(1, np.int64)
         tokens = (total[found.first[1:]] - total[found.first[:-1]] + 1).tolist()
         last = b"%d" % self.eos
@@ -411,10 +423,24 @@ class PieceCodec:
             own = which[first[k] : first[k + 1]].tolist()
             ids = b"".join(map(shown.__getitem__, own)) + last
             # where every segment decodes to its own bytes, the text decodes to itself
-            text = raw[edge[k] : edge[k + 1]] if plain is None else b"".join(map(plain.__getitem__, own))[1:]
-            out.append((n, hashlib.sha256(ids).hexdigest(), hashlib.sha256(text).hexdigest()))
+            source = raw[edge[k] : edge[k + 1]]
+            text = source if plain is None else b"".join(map(plain.__getitem__, own))[1:]
+            spans = self._spans(source, b"".join(map(widths.__getitem__, own)), column, k)
+            out.append((n, *(hashlib.sha256(x).hexdigest() for x in (ids, text, spans))))
         return out
 
+    def _spans(self, source: bytes, widths: bytes, column: pa.Array, row: int) -> bytes:
+        """Begins and ends of the pieces of one text and its end id; ``widths`` has the bytes that each piece stands for."""
+        edges = np.zeros(len(widths) // 2 + 1, np.int64)
+        np.cumsum(np.frombuffer(widths, np.uint16), out=edges[1:])
+        # the space mark in front stands for nothing
+        np.maximum(edges - 1, 0, out=edges)
+        if edges[-1] != len(source) or _MARK in source:
+            got = self._encode_cut(column.slice(row, 1), True)
+            return got.begin.astype("<i4").tobytes() + got.end.astype("<i4").tobytes()
+        edges = np.append(edges, edges[-1]).astype("<i4")
+        return edges[:-1].tobytes() + edges[1:].tobytes()
+
     def _names(self) -> list[bytes]:
         if not hasattr(self, "_shown"):
             self._shown = [b"%d " % i for i in range(len(self.pieces))]
@@ -424,6 +450,7 @@ class PieceCodec:
 
 
 _codecs: dict[str, PieceCodec] = {}
+_spark.forgets(_codecs.clear)
 
 
 def codec(path: str) -> PieceCodec:
@@ -433,7 +460,7 @@ def codec(path: str) -> PieceCodec:
     return _codecs[path]
 
 
-def batches(column: pa.Array, target: int = 12 << 20) -> Iterator[tuple[int, int]]:
+def batches(column: pa.Array, target: int = RUN_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges of about ``target`` bytes, so that memory doesn't follow the batch."""
     _, offsets = _text.buffers(column)
     lo, n = 0, len(offsets) - 1
@@ -459,7 +486,7 @@ def encode_documents(docs: DataFrame, model: str, id_col: str = "doc_id", text_c
     kind = docs.schema[id_col].dataType.simpleString()
     return (
         docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-        .mapInArrow(run, f"id {kind}, ids array<int>, begins array<int>, ends array<int>")
+        .transform(_spark.in_arrow, run, f"id {kind}, ids array<int>, begins array<int>, ends array<int>")
         .withColumnRenamed("id", id_col)
     )
 
@@ -475,11 +502,12 @@ def decode_documents(encoded: DataFrame, model: str, id_col: str = "doc_id", ids
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string())], names=["id", "text"])
 
     kind = encoded.schema[id_col].dataType.simpleString()
-    return encoded.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids")).mapInArrow(run, f"id {kind}, text string").withColumnRenamed("id", id_col)
+    return encoded.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids")).transform(_spark.in_arrow, run, f"id {kind}, text string").withColumnRenamed("id", id_col)
 
 
 def digest_documents(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Encodes with an end id, decodes again, and returns both as digests, in one pass and no shuffle."""
+    """Encodes with an end id, projects every piece to the bytes it came from, decodes again, and returns all as digests,
+    in one pass and no shuffle."""
     _spark.ship(docs.sparkSession)
 
     def run(parts):
@@ -487,15 +515,15 @@ def digest_documents(docs: DataFrame, model: str, id_col: str = "doc_id", text_c
         for part in parts:
             for lo, hi in batches(part.column(1)):
                 rows = own.digests(part.column(1).slice(lo, hi - lo))
-                n, ids, text = zip(*rows)
+                n, ids, text, spans = zip(*rows)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0).slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(text, pa.string())],
-                    names=["id", "n_tokens", "ids_sha256", "decoded_sha256"],
+                    [part.column(0).slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(text, pa.string()), pa.array(spans, pa.string())],
+                    names=["id", "n_tokens", "ids_sha256", "decoded_sha256", "spans_sha256"],
                 )
 
     kind = docs.schema[id_col].dataType.simpleString()
     return (
         docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-        .mapInArrow(run, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+        .transform(_spark.in_arrow, run, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, spans_sha256 string")
         .withColumnRenamed("id", id_col)
     )

@@ -119,7 +119,7 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ke
             yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], *[pa.array(out[:, k]) for k in range(len(FEATURES))]], names=[*names, *FEATURES])
 
     schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names] + [f"{c} long" for c in FEATURES])
-    return docs.select(*names, *([] if passes else [F.col(text_col).cast("string").alias("__text")])).mapInArrow(run, schema)
+    return docs.select(*names, *([] if passes else [F.col(text_col).cast("string").alias("__text")])).transform(_spark.in_arrow, run, schema)
 
 
 def _vote(bad: Column, good: Column | None = None) -> Column:

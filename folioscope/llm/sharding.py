@@ -54,8 +54,7 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(
-        run, f"doc_id {kind}, size long, tokens long, text_crc32 long, h1 long, h2 long"
+    return docs.select(F.col(id_col), F.col(text_col).cast("string")).transform(_spark.in_arrow, run, f"doc_id {kind}, size long, tokens long, text_crc32 long, h1 long, h2 long"
     )
 
 

@@ -32,7 +32,7 @@ def token_lengths(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
     kind = docs.schema[id_col].dataType.simpleString()
     return (
         docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-        .mapInArrow(run, f"id {kind}, n_tokens long")
+        .transform(_spark.in_arrow, run, f"id {kind}, n_tokens long")
         .withColumnRenamed("id", id_col)
     )
 

@@ -300,7 +300,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                             {"unit": pa.array(names[held], pa.string()), "toxic": pa.array(np.full(len(held), toxic[lo + k], np.int32)), "sign": pa.array(np.full(len(held), sign, np.int64))}
                         )
 
-    seen = _spark.stored(sample.mapInArrow(spread, "unit string, toxic int, sign long").distinct(), "seen")
+    seen = _spark.stored(sample.transform(_spark.in_arrow, spread, "unit string, toxic int, sign long").distinct(), "seen")
     # sketches as in the units' counts, not rows
     sizes = {r["toxic"]: r["n"] for r in seen.groupBy("toxic").agg(F.countDistinct("sign").alias("n")).collect()}
     if not sizes.get(0) or not sizes.get(1):
@@ -331,7 +331,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             own = Units(letters, edges, np.arange(len(names)), np.zeros(1, np.int64))
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(unit_scores(own, model.weights, model.bias).astype(float))], names=["unit", "score"])
 
-    hard = clean.select("unit").mapInArrow(rate, "unit string, score double").orderBy(F.col("score").desc(), "unit").limit(HARD)
+    hard = clean.select("unit").transform(_spark.in_arrow, rate, "unit string, score double").orderBy(F.col("score").desc(), "unit").limit(HARD)
     model = fit_units(positive, list(dict.fromkeys([r["unit"] for r in hard.collect()] + negative)))
 
     def measure(parts):
@@ -339,7 +339,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             x = features(part.column(2), model)
             yield pa.RecordBatch.from_arrays([part.column(1), pa.array(x[:, 1]), pa.array(x[:, 2])], names=["toxic", "top", "hits"])
 
-    got = sample.mapInArrow(measure, "toxic int, top double, hits double").toPandas()
+    got = sample.transform(_spark.in_arrow, measure, "toxic int, top double, hits double").toPandas()
     y = got["toxic"].to_numpy(float)
     share = np.where(y > 0, everyone[1] / max(y.sum(), 1), everyone[0] / max((1 - y).sum(), 1))
     x = np.column_stack([np.ones(len(got)), got["top"], got["hits"]])
@@ -359,7 +359,7 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
             yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(p)], names=[*names, "score"])
 
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names)
-    out = docs.select(*names, F.col(text_col).cast("string").alias("__text")).mapInArrow(run, f"{schema}, score double")
+    out = docs.select(*names, F.col(text_col).cast("string").alias("__text")).transform(_spark.in_arrow, run, f"{schema}, score double")
     return out.select(*names, held_out(id_col).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
@@ -375,4 +375,4 @@ def clean_documents(docs: DataFrame, model: Model | None, text_col: str = "text"
             elif part.num_rows:
                 yield part.filter(pa.array(_sigmoid(features(part.column(at), model) @ model.curve) < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.transform(_spark.in_arrow, run, docs.schema)

@@ -211,7 +211,7 @@ def write_monolithic(rows: DataFrame, folder: str) -> DataFrame:
         if out is not None:
             yield close()
 
-    return rows.select("page_id", "url", "html", "digest", "refers_to").mapInArrow(run, "archive string, records long")
+    return rows.select("page_id", "url", "html", "digest", "refers_to").transform(_spark.in_arrow, run, "archive string, records long")
 
 
 def normalise_all(manifest: DataFrame, folder: str) -> DataFrame:
@@ -226,7 +226,7 @@ def normalise_all(manifest: DataFrame, folder: str) -> DataFrame:
                 n = normalise(archive, target)
                 yield pa.RecordBatch.from_pydict({"archive": [target], "records": [n]})
 
-    return manifest.select("archive").mapInArrow(run, "archive string, records long")
+    return manifest.select("archive").transform(_spark.in_arrow, run, "archive string, records long")
 
 
 def read_all(manifest: DataFrame, id_type: str = "bigint") -> DataFrame:
@@ -241,7 +241,7 @@ def read_all(manifest: DataFrame, id_type: str = "bigint") -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
 
-    flat = manifest.select("archive").mapInArrow(run, _SCHEMA.format(id="string"))
+    flat = manifest.select("archive").transform(_spark.in_arrow, run, _SCHEMA.format(id="string"))
     return flat.withColumn("page_id", F.col("page_id").cast(id_type)).withColumn("refers_to", F.col("refers_to").cast(id_type))
 
 

@@ -85,14 +85,41 @@ def test_sentencepiece(docs, empty, texts):
     assert piece_codec.digest_documents(empty, piece_model()).count() == 0
 
 
-def test_character_map_prefers_the_longest_source():
-    keys = {b"a": b"x", b"ab": b"y"}
-    # a double array built by hand would repeat the codec; the walk is tested on a stub of units instead
-    stub = piece_codec.CharMap.__new__(piece_codec.CharMap)
-    stub.longest = lambda data, at: next(((keys[data[at : at + n]], n) for n in (2, 1) if data[at : at + n] in keys), None)
-    norm = piece_codec.Normaliser(stub, True, True, True)
-    out, align = norm(" abac ")
-    assert out.decode() == "▁yxc" and align == [1, 1, 1, 1, 3, 4, 5]
+def spans_digest(begins, ends):
+    return hashlib.sha256(np.array([*begins, *ends], "<i4").tobytes()).hexdigest()
+
+
+def test_spans_of_digests_are_those_of_the_encoder(docs):
+    spans = {r.doc_id: spans_digest(r.begins, r.ends) for r in piece_codec.encode_documents(docs, piece_model(), add_end=True).collect()}
+    assert {r.doc_id: r.spans_sha256 for r in piece_codec.digest_documents(docs, piece_model()).collect()} == spans
+
+
+def test_compiled_character_map_against_the_library(tmp_path):
+    """The public vocabulary with the library's own nmt_nfkc map: ids and spans as the library gives them."""
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    source = pb.ModelProto()
+    source.ParseFromString(sentencepiece.SentencePieceNormalizer(rule_name="nmt_nfkc").serialized_model_proto())
+    proto = pb.ModelProto()
+    with open(piece_model(), "rb") as f:
+        proto.ParseFromString(f.read())
+    proto.normalizer_spec.precompiled_charsmap = source.normalizer_spec.precompiled_charsmap
+    for trim in (False, True):
+        proto.normalizer_spec.remove_extra_whitespaces = trim
+        path = tmp_path / f"mapped{trim}.model"
+        path.write_bytes(proto.SerializeToString())
+        own, want = piece_codec.PieceCodec(str(path)), sentencepiece.SentencePieceProcessor(model_file=str(path))
+        assert not own.cuttable
+        texts = ["", "ﬁne ﬂuff №5", "  ①② ｆｕｌｌ　ｗｉｄｔｈ  ", "e\u0301te\u0301 Å", "plain words", "ｶﾞｷﾞ ㍿ ½ tab\tend", "日本語 ㌔ x" * 40]
+        got = own.encode(pa.array(texts))
+        for k, text in enumerate(texts):
+            proto_out = want.encode(text, return_type="proto")
+            at = slice(got.first[k], got.first[k + 1])
+            assert got.ids[at].tolist() == [p.id for p in proto_out.pieces]
+            # the library counts bytes here
+            assert got.begin[at].tolist() == [p.begin for p in proto_out.pieces]
+            assert got.end[at].tolist() == [p.end for p in proto_out.pieces]
 
 
 def test_toxicity(spark, docs, empty):
