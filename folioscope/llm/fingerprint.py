@@ -8,12 +8,11 @@ Edited texts need the next document by descending id.  Rows are placed into rang
 moves once; the highest row of a range is also sent to the range before it.  Signatures are minima, so the
 part of a text that an edit keeps is hashed once for both.
 
-:func:`similar_pairs` joins signature bands in Spark by way of each bucket's smallest row and verifies
-Jaccard similarity on full shingle sets.
+:func:`similar_classes` joins signature bands in Spark and verifies Jaccard similarity on full shingle sets.
 
 Defined results: null and empty texts have no shingles, one fingerprint of their own, and likeness 1 to each
-other and 0 to any other; rows are ordered by descending id (null last), rows of one id by a hash of the
-text; a single row is its own next document; repeated rows have equal fingerprints; an empty table gives an
+other and 0 to any other; rows are ordered by descending id (null last), rows of one id by descending hash of
+the text; a single row is its own next document; repeated rows have equal fingerprints; an empty table gives an
 empty table; very long texts are read whole; other columns are ignored.
 """
 
@@ -23,17 +22,16 @@ import bisect
 import hashlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import _spark, _text
-from .minhash import Permutations, band_keys
+from . import _spark, _text, near_dedup
+from .minhash import Permutations
 
 WIDTH, PERMUTATIONS, BANDS = 8, 128, 32
-#: Rows of a range, and most ranges; a task reads its ranges as a stream.
-RANGE_ROWS, RANGES = 512, 4096
+#: Rows of a range, and most ranges (their heads are known to every task); a task reads its ranges as a stream.
+RANGE_ROWS, RANGES = 512, 65_536
 _CHANCE = 2.0**-16
 
 
@@ -108,60 +106,67 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).transform(_spark.in_arrow, run, f"id {kind}, fingerprint string").withColumnRenamed("id", id_col)
 
 
-def _heads(docs: DataFrame, id_col: str) -> list:
-    """The highest id of each range, highest first: at most ``RANGES`` of them, null (which is lowest) last."""
-    keys = _spark.stored(docs.groupBy(F.col(id_col).alias("id")).agg(F.count(F.lit(1)).alias("n")), "ids")
-    total = keys.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+def _heads(keys: DataFrame) -> list[tuple]:
+    """The highest (id, h) of each range, highest first: at most ``RANGES`` of them, null ids (which are lowest) last."""
+    total = keys.count()
     each = max(RANGE_ROWS, -(-total // RANGES))
-    # ranks need no task that sees all ids: blocks of ids are sorted on their own and their sizes added up
-    blocks = _spark.stored(keys.repartitionByRange(F.col("id").desc_nulls_last()).select("id", "n", F.spark_partition_id().alias("block")), "blocks")
+    down = [F.col("id").desc_nulls_last(), F.col("h").desc()]
+    # ranks need no task that sees all keys: blocks of keys are sorted on their own and their sizes added up
+    blocks = _spark.stored(keys.repartitionByRange(*down).select("id", "h", F.spark_partition_id().alias("block")), "blocks")
     upto = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = blocks.groupBy(F.col("block").alias("b")).agg(F.sum("n").alias("size")).withColumn("base", F.coalesce(F.sum("size").over(upto), F.lit(0)))
-    inside = Window.partitionBy("block").orderBy(F.col("id").desc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = blocks.join(F.broadcast(sizes), F.col("block") == F.col("b")).withColumn("rank", F.col("base") + F.coalesce(F.sum("n").over(inside), F.lit(0)))
-    heads = ranked.groupBy(F.floor(F.col("rank") / each).alias("range")).agg(F.min_by("id", "rank").alias("head")).orderBy("range")
-    return [r["head"] for r in heads.collect()]
+    sizes = blocks.groupBy(F.col("block").alias("b")).agg(F.count(F.lit(1)).alias("size")).withColumn("base", F.coalesce(F.sum("size").over(upto), F.lit(0)))
+    rank = F.row_number().over(Window.partitionBy("block").orderBy(*down)) - 1
+    ranked = blocks.withColumn("inside", rank).join(F.broadcast(sizes), F.col("block") == F.col("b")).withColumn("rank", F.col("base") + F.col("inside"))
+    return [(r["id"], r["h"]) for r in ranked.filter(F.col("rank") % each == 0).orderBy("rank").select("id", "h").collect()]
 
 
 def _placed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Rows (range, rank, role, h, id, text) by range; rows of a range's highest id again, as role 1, in the range before.
+    """Rows (range, role, n, h, id, text) by range; a range's highest row again, as role 1, in the range before.
 
-    The first range's highest row goes to the last range, for after the last document comes the first.
+    Rows that agree in id and text are one, ``n`` times.  The first range's highest row goes to the last range,
+    for after the last document comes the first.
     """
-    heads = _heads(docs, id_col)
-    count = len(heads)
-    low = [h for h in reversed(heads) if h is not None]
-    nulls = count - len(low)
-
-    @F.pandas_udf("range int, leads boolean")
-    def place(ids: pd.Series) -> pd.DataFrame:
-        empty = ids.isna().to_numpy()
-        known = ids.to_numpy()[~empty]
-        if pd.api.types.is_numeric_dtype(ids.dtype):
-            known = known.astype(np.asarray(low).dtype) if len(low) else known
-            at = np.searchsorted(np.asarray(low), known)
-        else:
-            at = np.array([bisect.bisect_left(low, x) for x in known], np.int64)
-        found, leads = np.full(len(ids), count - 1, np.int64), np.full(len(ids), nulls > 0)
-        # a range holds the ids from its head down to the next head
-        found[~empty] = len(low) - 1 - at
-        leads[~empty] = [low[k] == x for k, x in zip(at.tolist(), known.tolist())]
-        return pd.DataFrame({"range": found, "leads": leads})
-
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("id"), place(F.col(id_col)).alias("at"), text.alias("text"))
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("h"), text.alias("text"))
+    keys = _spark.stored(rows.groupBy("id", "h").agg(F.count(F.lit(1)).alias("n")), "ids")
+    heads = _heads(keys)
+    count = len(heads)
+    # ascending, nulls first
+    low = [(i is not None, i, h) for i, h in reversed(heads)]
+    nulls = [h for i, h in reversed(heads) if i is None]
+
+    @F.arrow_udf("struct<range: int, leads: boolean>")
+    def place(ids: pa.Array, hashes: pa.Array) -> pa.Array:
+        found, leads = [], []
+        for i, h in zip(ids.to_pylist(), hashes.to_pylist()):
+            key = (i is not None, i, h)
+            # a range holds the keys from its head down to the next head
+            at = bisect.bisect_left(low, key) if i is not None else bisect.bisect_left(nulls, h)
+            found.append(count - 1 - at)
+            leads.append(low[at] == key)
+        return pa.StructArray.from_arrays([pa.array(found, pa.int32()), pa.array(leads)], names=["range", "leads"])
+
+    often = _spark.stored(keys.filter("n > 1"), "often")
+    if often.isEmpty():
+        rows = rows.withColumn("n", F.lit(1).cast("long"))
+    else:
+        same = F.col("id").eqNullSafe(F.col("i2")) & (F.col("h") == F.col("h2"))
+        named = often.select(F.col("id").alias("i2"), F.col("h").alias("h2"), "n")
+        once = rows.join(named, same, "left_anti").withColumn("n", F.lit(1).cast("long"))
+        rows = once.unionByName(rows.join(named, same).select("id", "h", "text", "n").dropDuplicates(["id", "h"]))
+    rows = rows.select("id", "h", "n", place("id", "h").alias("at"), "text")
     own = F.struct(F.col("at.range").alias("range"), F.lit(0).alias("role"))
     again = F.struct(((F.col("at.range") + count - 1) % max(count, 1)).alias("range"), F.lit(1).alias("role"))
     both = rows.withColumn("to", F.explode(F.when(F.col("at.leads"), F.array(own, again)).otherwise(F.array(own))))
-    both = both.select("to.range", "to.role", F.xxhash64("text").alias("h"), "id", "text")
-    return both.repartition("range").sortWithinPartitions("range", "role", F.col("id").desc_nulls_last(), "h")
+    both = both.select("to.range", "to.role", "n", "h", "id", "text")
+    return both.repartition("range").sortWithinPartitions("range", "role", F.col("id").desc_nulls_last(), F.col("h").desc())
 
 
 class _Line:
     """A text waiting for its next, with what is known of it so far."""
 
-    def __init__(self, where: int, key: object, text: bytes) -> None:
-        self.where, self.key, self.text = where, key, text
+    def __init__(self, where: int, key: object, text: bytes, times: int) -> None:
+        self.where, self.key, self.text, self.times = where, key, text, times
 
 
 def edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -183,17 +188,25 @@ def edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     def complete(row: list, after: bytes) -> list:
         return [*row[:3], row[3].hex(), row[4].hex(), likeness(row[3], row[4]), likeness(row[3], after)]
 
+    def copied(signer: Signer, now: _Line) -> list[list]:
+        """Rows of the copies of a text that another copy follows."""
+        if now.times < 2:
+            return []
+        row, _ = finish(signer, now, now, None)
+        return [complete(row, row[3])] * (now.times - 1)
+
     def run(parts):
         signer, now, waiting = Signer(), None, None
         for part in parts:
             out = []
-            where, role = (part.column(k).to_pylist() for k in (0, 1))
-            keys = part.column(3).to_pylist()
-            data, offsets = _text.buffers(part.column(4))
+            where, role, times = (part.column(k).to_pylist() for k in (0, 1, 2))
+            keys = part.column(4).to_pylist()
+            data, offsets = _text.buffers(part.column(5))
             raw, edge = data.tobytes(), offsets.tolist()
             for k in range(part.num_rows):
-                after = _Line(where[k], keys[k], raw[edge[k] : edge[k + 1]])
+                after = _Line(where[k], keys[k], raw[edge[k] : edge[k + 1]], times[k])
                 if now is not None and now.where == after.where:
+                    out += copied(signer, now)
                     row, full = finish(signer, now, after, waiting)
                     if full:
                         out.append(full)
@@ -201,56 +214,38 @@ def edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
                     if role[k]:
                         out.append(complete(row, pack(signer.whole(after.text))))
                         waiting = None
-                # of the copies at the end of a range only the first follows its last row
+                elif now is not None or waiting is not None or role[k]:
+                    raise ValueError("a range doesn't end with the row that follows it")
                 now = None if role[k] else after
             if out:
-                types = [part.schema.field(3).type, pa.int64(), *[pa.string()] * 3, pa.float64(), pa.float64()]
+                types = [part.schema.field(4).type, pa.int64(), *[pa.string()] * 3, pa.float64(), pa.float64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
+        if now is not None or waiting is not None:
+            raise ValueError("a range doesn't end with the row that follows it")
 
     schema = f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     return _placed(docs, id_col, text_col).transform(_spark.in_arrow, run, schema)
 
 
-def similar_pairs(docs: DataFrame, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Pairs (hub, member, jaccard) of ids at or above the threshold: bands joined in Spark, Jaccard verified.
+def gram_sets(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct byte windows of each text (a shorter text is one), sorted, and where each text begins."""
+    sums, edge, found = _text.prefix_sums(data), at.tolist(), []
+    for i, j in zip(edge, edge[1:]):
+        short = 0 < j - i < WIDTH
+        found.append(np.unique(_text.span_hash(sums, np.array([i]), np.array([j])) if short else shingles(data, sums, i, j)))
+    starts = np.concatenate([[0], np.cumsum([len(x) for x in found], dtype=np.int64)]).astype(np.int64)
+    return (np.concatenate(found) if found else np.zeros(0, np.uint64)), starts
 
-    In each bucket every row is paired with the bucket's smallest id alone, so pairs grow with the rows.
-    """
-    _spark.ship(docs.sparkSession)
-    rows = PERMUTATIONS // BANDS
 
-    def bands(parts):
-        signer = Signer()
-        for part in parts:
-            data, offsets = _text.buffers(part.column(1))
-            raw, edge = data.tobytes(), offsets.tolist()
-            held = [(k, signer.whole(raw[i:j])) for k, (i, j) in enumerate(zip(edge, edge[1:])) if j > i]
-            if held:
-                keys = band_keys(np.stack([s for _, s in held]), rows, 3)
-                at = np.repeat([k for k, _ in held], keys.shape[1])
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at)), pa.array(keys.reshape(-1).view(np.int64))], names=["id", "band"])
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    texts = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    table = _spark.stored(texts.transform(_spark.in_arrow, bands, f"id {kind}, band long").distinct(), "bands")
-    hubs = table.groupBy("band").agg(F.min("id").alias("hub"), F.max("id").alias("most")).filter("hub < most")
-    pairs = table.join(hubs, "band").filter("id <> hub").select("hub", F.col("id").alias("member")).distinct()
-    one, two = (texts.select(F.col("id").alias(k), F.col("text").alias(f"{k}_text")) for k in ("hub", "member"))
-    met = pairs.join(one, "hub").join(two, "member").select("hub", "member", "hub_text", "member_text")
-
-    def verify(parts):
-        def grams(text: str) -> np.ndarray:
-            data = np.frombuffer(text.encode(), np.uint8)
-            sums = _text.prefix_sums(data)
-            return np.unique(shingles(data, sums, 0, len(data)) if len(data) >= WIDTH else _text.span_hash(sums, np.array([0]), np.array([len(data)])))
-
-        for part in parts:
-            out = []
-            for k in range(part.num_rows):
-                a, b = grams(part.column(2)[k].as_py()), grams(part.column(3)[k].as_py())
-                both = len(np.intersect1d(a, b, assume_unique=True))
-                out.append(both / max(len(a) + len(b) - both, 1))
-            own = pa.array(out, pa.float64())
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), own], names=["hub", "member", "jaccard"])
+def similar_classes(docs: DataFrame, percent: int = 70, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Classes of texts linked at ``percent`` similarity: signature bands joined in Spark, Jaccard verified on full sets.
 
-    return met.transform(_spark.in_arrow, verify, f"hub {kind}, member {kind}, jaccard double").filter(F.col("jaccard") >= threshold).distinct()
+    The first table has a row a document: doc_id, n_shingles, class_id (the smallest id of its class) and node (its
+    distinct set); the second the verified links (a, b, jaccard) between nodes.  Buckets go by their hub first, and by
+    pairs of components where several are left, as in :mod:`.near_dedup`; bands are of ``BANDS`` in ``PERMUTATIONS``.
+    Rows with a null id take part and have a null class where no row of it has an id.
+    """
+    kind = near_dedup.Kind(gram_sets, PERMUTATIONS, False, percent)
+    rows, links = near_dedup.classes(docs, id_col, text_col, kind)
+    rows = rows.select("doc_id", "n_shingles", F.col("component_id").alias("class_id"), "node")
+    return rows, links.select("a", "b", (F.col("both") / F.col("whole")).alias("jaccard"))
