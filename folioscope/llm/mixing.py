@@ -1,31 +1,36 @@
 """Mixing sources to target weights by Pareto order sampling (operator 9).
 
 Sources share all words by weight; a source's target stops at ``max_repeat`` times its own size and the
-excess is shared again by weight until no target is above its stop.  A source whose target is e times its
-size gives every document floor(e) certain whole copies; the rest is a Pareto order sample: documents are
-ranked by the odds of a uniform number (a hash of id and text, so that reruns agree) divided by the odds
-of inclusion, and taken in that order until the source's words reach the target.
+excess is shared again by weight until no target is above its stop.
 
-A hot source never meets in one task: uniform numbers fall into bins of about ``BIN`` documents, bin
-totals decide all bins but one a source, and only the documents of that bin are looked at one by one.
-Texts are counted where they are read and never shuffled.
+Within a source a document is expected ``e`` times, in proportion to the square root of its words and at most
+``max_repeat`` times, so that the expected words are the source's target.  It gets floor(e) certain whole
+copies; what is left of e is its inclusion probability p in a Pareto order sample: documents are ranked by
+the odds of a uniform number divided by the odds of p, and taken in that order, as many as bring the source's
+words nearest to the target.
+
+Uniform numbers are hashes of id, text and the number of the copy among rows that agree in both, so reruns
+agree.  A hot source never meets in one task: ranks fall into bins of about ``BIN`` documents near the end of
+the sample, bin totals decide all bins but one a source, and only that bin is ordered row by row.  Expected
+copies follow from the sizes that occur and how often.  Texts are counted where they are read and never shuffled.
 
 Defined results: null and empty texts have size 0 and are taken 0 words; a null source is a source of its
-own and comes last; rows with a null id take part; repeated rows are separate documents; an empty table
-gives an empty table; other columns are ignored by :func:`mix` and kept by :func:`mixed_documents`.
+own and comes last; rows with a null id take part; repeated rows are separate documents; equal ranks go by
+row; an empty table gives an empty table; other columns are ignored by :func:`mix` and kept by
+:func:`mixed_documents`, whatever their names.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _spark, _text
 
-#: Documents of one bin of the order sample, on average.
-BIN = 4096
+#: Documents of one bin of the order sample, about; and copies of one document that one task writes.
+BIN, RUN = 4096, 512
 #: Rows up to which the table of sources is broadcast; beyond, the join is left to the planner.
 BROADCAST_ROWS = 50_000
 
@@ -46,24 +51,6 @@ def word_counts(docs: DataFrame, keep: list[str], text_col: str = "text") -> Dat
     return docs.select(*keep, F.col(text_col).cast("string").alias("__text")).transform(_spark.in_arrow, run, f"{schema}, size long")
 
 
-def _fill_order(pdf):
-    """Takes documents of one source's deciding bin in Pareto order while they fit, then the best last one."""
-    pdf = pdf.sort_values(["q", "doc_id", "size"], kind="mergesort")
-    left = float(pdf["need"].iloc[0])
-    size = pdf["size"].to_numpy()
-    taken = np.zeros(len(size), bool)
-    for k, n in enumerate(size.tolist()):
-        if n <= left:
-            taken[k] = True
-            left -= n
-    rest = np.flatnonzero(~taken)
-    if len(rest):
-        best = rest[np.argmin(np.abs(size[rest] - left))]
-        if abs(size[best] - left) < left:
-            taken[best] = True
-    return pdf.assign(chosen=taken.astype("int64"))[["doc_id", "h", "size", "source_size", "target", "whole", "chosen"]]
-
-
 def targets(sized: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeat: float = 3.0) -> tuple[DataFrame, int]:
     """One row a source: size, documents, weight (by code point order, null last) and target; and their number."""
     stats = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
@@ -84,61 +71,112 @@ def targets(sized: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeat:
     return stats.withColumn("target", F.least(F.col("weight") * level, stop)), count
 
 
-def mix(docs: DataFrame, seed: int = 9, weights: tuple[int, ...] = (1, 2, 3), max_repeat: float = 3.0) -> DataFrame:
-    """Per document: doc_id, ``h`` (its random number's bits), size, source_size, target, ``copies`` and ``taken`` words."""
-    keyed = docs.select("doc_id", "source", F.xxhash64("doc_id", "text", F.lit(seed)).alias("h"), "text")
-    sized = _spark.stored(word_counts(keyed, ["doc_id", "source", "h"]), "sizes")
+def rates(sized: DataFrame, stats: DataFrame, max_repeat: float) -> DataFrame:
+    """Per source the factor r with which documents of size s are expected min(max_repeat, r * sqrt(s)) times.
+
+    Sizes are looked at from the largest down: those so far are held at ``max_repeat``, and r follows from the
+    words that are left.  The first place from where no size is above the stop gives r; where there is none,
+    every document is at the stop.
+    """
+    by_size = sized.filter("size > 0").groupBy("source", "size").agg(F.count(F.lit(1)).alias("times"))
+    down = Window.partitionBy("source").orderBy(F.col("size").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    words, roots = F.col("times") * F.col("size"), F.col("times") * F.pow("size", F.lit(1.5))
+    table = by_size.withColumn("before", F.coalesce(F.sum(words).over(down), F.lit(0))).withColumn("roots_before", F.coalesce(F.sum(roots).over(down), F.lit(0.0)))
+    table = _spark.stored(table, "by-size")
+    whole = table.groupBy(F.col("source").alias("s0")).agg(F.sum(roots).alias("roots"))
+    table = table.join(whole, F.col("source").eqNullSafe(F.col("s0"))).join(stats.select(F.col("source").alias("s1"), "target"), F.col("source").eqNullSafe(F.col("s1")))
+    # what is left is at least the row's own part, whatever rounding leaves of the difference
+    left = F.greatest(F.col("roots") - F.col("roots_before"), F.col("times") * F.pow("size", F.lit(1.5)))
+    rate = F.greatest(F.col("target") - max_repeat * F.col("before"), F.lit(0.0)) / left
+    table = table.withColumn("rate", rate).filter(F.col("rate") * F.sqrt("size") <= max_repeat + 1e-12)
+    return table.groupBy(F.col("source").alias("s3")).agg(F.max_by("rate", "size").alias("rate"))
+
+
+def _numbered(sized: DataFrame) -> DataFrame:
+    """``nth``: the number of a row among those that agree in id and text (the key ``h``), 0 for most."""
+    often = _spark.stored(sized.groupBy(F.col("h").alias("h2")).agg(F.count(F.lit(1)).alias("times")).filter("times > 1"), "often")
+    if often.isEmpty():
+        return sized.withColumn("nth", F.lit(0).cast("long"))
+    # rows of one key are numbered within each block of rows, and blocks one after another
+    block = F.shiftright("row", 33)
+    again = sized.join(often.select("h2"), F.col("h") == F.col("h2"), "left_semi").withColumn("block", block)
+    sizes = again.groupBy(F.col("h").alias("h3"), F.col("block").alias("b3")).agg(F.count(F.lit(1)).alias("n"))
+    base = F.coalesce(F.sum("n").over(Window.partitionBy("h3").orderBy("b3").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    again = again.join(sizes.withColumn("base", base), (F.col("h") == F.col("h3")) & (F.col("block") == F.col("b3")))
+    inside = F.row_number().over(Window.partitionBy("h", "block").orderBy("row")) - 1
+    again = again.withColumn("nth", F.col("base") + inside).select(*sized.columns, "nth")
+    return sized.join(often.select("h2"), F.col("h") == F.col("h2"), "left_anti").withColumn("nth", F.lit(0).cast("long")).unionByName(again)
+
+
+def _odds(p: Column) -> Column:
+    return p / F.greatest(1 - p, F.lit(1e-12))
+
+
+def mix(docs: DataFrame, seed: int = 9, weights: tuple[int, ...] = (1, 2, 3), max_repeat: float = 3.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """Per document: doc_id, ``h`` (a hash of id and text), size, source_size, target, ``expected`` and real ``copies``, and ``taken`` words."""
+    keyed = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.xxhash64(id_col, text_col, F.lit(seed)).alias("h"), F.col(text_col).alias("text"))
+    # row numbers are written with the rows: a task that runs again can't change them later
+    sized = _spark.stored(word_counts(keyed, ["doc_id", "source", "h"]).withColumn("row", F.monotonically_increasing_id()), "sizes")
     stats, count = targets(sized, weights, max_repeat)
-    if count <= BROADCAST_ROWS:
-        stats = F.broadcast(stats)
-    stats = stats.withColumnRenamed("source", "s")
-    ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    u = (F.shiftrightunsigned("h", 11).cast("double") + 0.5) / float(2**53)
+    rate = _spark.stored(rates(sized, stats, max_repeat), "rates")
+    stats = stats.join(rate, F.col("source").eqNullSafe(F.col("s3")), "left").withColumnRenamed("source", "s").drop("s3", "weight")
+    stats = _spark.stored(stats, "stats")
+    near = F.broadcast if count <= BROADCAST_ROWS else (lambda x: x)
+    u = (F.shiftrightunsigned(F.xxhash64("h", "nth"), 11).cast("double") + 0.5) / float(2**53)
+    expected = F.when(F.col("size") == 0, F.lit(0.0)).otherwise(F.least(F.coalesce(F.col("rate") * F.sqrt("size"), F.lit(max_repeat)), F.lit(max_repeat)))
     rows = (
-        sized.join(stats, F.col("source").eqNullSafe(F.col("s")), "inner")
-        .withColumn("whole", F.floor(ratio + 1e-12).cast("long"))
-        .withColumn("want", F.greatest(F.col("target") - F.col("whole") * F.col("source_size"), F.lit(0.0)))
-        .withColumn("p", F.col("want") / F.greatest(F.col("source_size"), F.lit(1)))
-        .withColumn("u", u)
-        .withColumn("q", F.col("u") / (1 - F.col("u")) / F.greatest(F.col("p") / F.greatest(1 - F.col("p"), F.lit(1e-12)), F.lit(1e-12)))
-        .withColumn("bin", F.floor(F.col("u") * F.ceil(F.col("n") / BIN)))
+        _numbered(sized)
+        .join(near(stats), F.col("source").eqNullSafe(F.col("s")), "inner")
+        .withColumn("expected", expected)
+        .withColumn("whole", F.floor(F.col("expected") + 1e-9).cast("long"))
+        .withColumn("p", F.greatest(F.col("expected") - F.col("whole"), F.lit(0.0)))
+        .withColumn("q", _odds(u) / F.greatest(_odds(F.col("p")), F.lit(1e-12)))
+        # q as a number between 0 and 1: near 1/2, where samples end, a bin holds BIN documents at most
+        .withColumn("bin", F.floor(F.col("q") / (1 + F.col("q")) * F.ceil(F.col("n") / BIN)))
+        .select("row", "doc_id", "h", "source", "size", "source_size", "target", "expected", "whole", "p", "q", "bin")
     )
-    bins = rows.groupBy("source", "bin").agg(F.sum("size").alias("bin_size"), F.first("want").alias("want"))
+    rows = _spark.stored(rows, "ranked")
+    drawn = rows.filter("p > 0 and size > 0")
+    sure = rows.groupBy("source").agg(F.sum(F.col("whole") * F.col("size")).alias("sure"), F.first("target").alias("target"))
+    sure = sure.select(F.col("source").alias("s4"), F.greatest(F.col("target") - F.col("sure"), F.lit(0.0)).alias("want"))
     order = Window.partitionBy("source").orderBy("bin")
+    bins = drawn.groupBy("source", "bin").agg(F.sum("size").alias("bin_size")).join(sure, F.col("source").eqNullSafe(F.col("s4")))
     bins = (
         bins.withColumn("upto", F.sum("bin_size").over(order.rowsBetween(Window.unboundedPreceding, 0)))
         .filter(F.col("upto") >= F.col("want"))
-        .withColumn("k", F.row_number().over(order))
-        .filter("k = 1")
-        .select(F.col("source").alias("s2"), F.col("bin").alias("deciding"), (F.col("want") - F.col("upto") + F.col("bin_size")).alias("need"))
-    )
-    if count <= BROADCAST_ROWS:
-        bins = F.broadcast(bins)
-    rows = rows.join(bins, F.col("source").eqNullSafe(F.col("s2")), "left").withColumn("deciding", F.coalesce("deciding", F.lit(2**62)))
-    sure = rows.filter(F.col("bin") != F.col("deciding")).select(
-        "doc_id", "h", "size", "source_size", "target", "whole", (F.col("bin") < F.col("deciding")).cast("long").alias("chosen")
-    )
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    asked = (
-        rows.filter(F.col("bin") == F.col("deciding"))
-        .select("doc_id", "h", "size", "source_size", "target", "whole", "q", "need", "source")
-        .groupBy("source")
-        .applyInPandas(_fill_order, f"doc_id {kind}, h long, size long, source_size long, target double, whole long, chosen long")
-    )
-    both = sure.unionByName(asked).withColumn("copies", F.col("whole") + F.col("chosen"))
-    return both.select("doc_id", "h", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
-
-
-def mixed_documents(docs: DataFrame, seed: int = 9) -> DataFrame:
-    """The mixed table: each document as often as the mix takes it, with all its columns."""
-    chosen = mix(docs, seed).filter("copies > 0").select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"), F.col("copies").alias("__copies"))
-    # rows that agree in id and text share a number; one decision each, in any order
-    nth = Window.partitionBy("__id", "__h").orderBy(F.col("__copies").desc())
-    chosen = chosen.withColumn("__nth", F.row_number().over(nth))
-    mine = Window.partitionBy("doc_id", "__h").orderBy(F.lit(1))
-    out = docs.withColumn("__h", F.xxhash64("doc_id", "text", F.lit(seed))).withColumn("__nth", F.row_number().over(mine))
-    out = out.join(
-        chosen.withColumnRenamed("__h", "__h2").withColumnRenamed("__nth", "__nth2"),
-        F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__h2")) & (F.col("__nth") == F.col("__nth2")),
+        .groupBy(F.col("source").alias("s2"))
+        .agg(F.min_by(F.struct("bin", (F.col("want") - F.col("upto") + F.col("bin_size")).alias("need")), "bin").alias("m"))
+        .select("s2", F.col("m.bin").alias("deciding"), F.col("m.need").alias("need"))
     )
-    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*docs.columns)
+    drawn = drawn.join(near(_spark.stored(bins, "bins")), F.col("source").eqNullSafe(F.col("s2")), "left").withColumn("deciding", F.coalesce("deciding", F.lit(2**62)))
+    before = F.coalesce(F.sum("size").over(Window.partitionBy("source").orderBy("q", "row").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # in order, as long as a document brings the words nearer to what is needed
+    asked = drawn.filter(F.col("bin") == F.col("deciding")).withColumn("before", before).filter(F.col("need") - F.col("before") > F.col("size") / 2)
+    chosen = drawn.filter(F.col("bin") < F.col("deciding")).select("row").unionByName(asked.select("row"))
+    out = rows.join(chosen.withColumn("one", F.lit(1).cast("long")), "row", "left").withColumn("copies", F.col("whole") + F.coalesce("one", F.lit(0).cast("long")))
+    return out.select("doc_id", "h", "size", "source_size", "target", "expected", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def mixed_documents(docs: DataFrame, seed: int = 9, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The mixed table: each document as often as the mix takes it, with all its columns.
+
+    Of rows that agree in id and text, one is written as often as all of them are taken.
+    """
+    # columns go by place, so that no name can clash
+    names = [f"c{k}" for k in range(len(docs.columns))]
+    own_id, own_text = (names[docs.columns.index(c)] for c in (id_col, text_col))
+    chosen = mix(docs, seed, id_col=id_col, text_col=text_col, source_col=source_col)
+    chosen = chosen.groupBy(F.col("doc_id").alias("id"), F.col("h").alias("h2")).agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("rows")).filter("copies > 0")
+    chosen = _spark.stored(chosen, "chosen")
+    same = F.col(own_id).eqNullSafe(F.col("id")) & (F.col("h") == F.col("h2"))
+    keyed = docs.toDF(*names).withColumn("h", F.xxhash64(own_id, own_text, F.lit(seed)))
+    out = keyed.join(chosen.filter("rows = 1 and copies <= 3"), same)
+    hot = chosen.filter("rows > 1 or copies > 3")
+    many = None
+    if not hot.isEmpty():
+        once = keyed.join(hot, same).dropDuplicates([own_id, "h"])
+        runs = F.explode(F.sequence(F.lit(0), F.floor((F.col("copies") - 1) / RUN).cast("int")))
+        many = once.withColumn("run", runs).repartition("h", "run").withColumn("copies", F.least(F.col("copies") - F.col("run") * RUN, F.lit(RUN)))
+    each = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")
+    out = out.select(*names, each) if many is None else out.select(*names, each).unionByName(many.select(*names, each))
+    return out.select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns)])
