@@ -1,10 +1,11 @@
 """Sharding by vector bin packing (operator 10).
 
 A group is the copies of one text; its vector is bytes, tokens and rows.  Each group goes to the shard
-where the dot product of its vector with the shard's residual capacity is highest.  Groups larger than
-1/``SPLIT`` of a shard are cut into parts by a hash of the id, so that no group makes a shard uneven.
+where the dot product of its vector with the shard's residual capacity is highest.  A group stays whole
+unless its bytes fit into no shard (to within 2/``SPLIT`` of one); only then it is cut into parts, by a hash of
+the row's number, so that no group makes a shard uneven.
 
-Parts large against a shard are few whatever the corpus (at most ``3 * SHARE`` a shard) and are placed
+Groups large against a shard are few whatever the corpus (at most ``3 * SHARE`` a shard) and are placed
 first, on the driver, largest first.  All others are packed in parallel: hash buckets of about ``BUCKET``
 groups each fill their own share of what is left, so packings add up to even shards.
 
@@ -72,51 +73,78 @@ def pack(vectors: np.ndarray, residual: np.ndarray) -> np.ndarray:
     return out
 
 
+def place_large(vectors: np.ndarray, residual: np.ndarray, room: np.ndarray) -> np.ndarray:
+    """As :func:`pack`, but only where the first dimension fits with ``room`` to spare; -1 where it fits nowhere."""
+    scale = np.maximum(residual.sum(0), 1e-9) / len(residual)
+    unit, left = vectors / scale, residual / scale
+    out = np.full(len(vectors), -1, np.int32)
+    for k in np.lexsort((np.arange(len(unit)), -unit @ WEIGHT)):
+        fits = vectors[k, 0] <= residual[:, 0] + room
+        if fits.any():
+            s = int(np.argmax(np.where(fits, left @ (unit[k] * WEIGHT), -np.inf)))
+            out[k] = s
+            left[s] -= unit[k]
+            residual[s] -= vectors[k]
+    return out
+
+
 def shard(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, size, tokens, text_crc32, ``shard`` and ``slot``, gapless from 0 in each shard."""
     spark = docs.sparkSession
-    rows = _spark.stored(measured(docs, id_col, text_col), "measured")
+    # row numbers are written with the rows: a task that runs again can't change them later
+    rows = _spark.stored(measured(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "measured")
     total = rows.agg(F.sum("size"), F.sum("tokens"), F.count(F.lit(1))).first()
     total = np.array([float(x or 0) for x in total])
     capacity = total / shards
-    groups = rows.groupBy("h1", "h2").agg(F.sum("size").alias("size"), F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("n"))
+    vector = [F.sum("size").alias("size"), F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("n")]
     share = F.greatest(*[F.col(c) / F.lit(max(x, 1.0)) for c, x in zip(("size", "tokens", "n"), capacity)])
-    # at most 3 * SPLIT * shards groups exceed the threshold, for their shares sum to 3 * shards
-    hot = groups.filter((share > 1 / SPLIT) & (F.col("n") > 1)).select(
-        F.col("h1").alias("g1"), F.col("h2").alias("g2"), F.least(F.ceil(share * SPLIT), F.col("n")).cast("int").alias("parts")
-    )
-    part = F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64(F.lit(17), id_col if id_col == "doc_id" else "doc_id"), F.col("parts"))).cast("int")
-    rows = rows.join(F.broadcast(hot), (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2")), "left").withColumn("part", part).drop("g1", "g2", "parts")
-    units = rows.groupBy("h1", "h2", "part").agg(F.sum("size").alias("size"), F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("n"))
-    units = _spark.stored(units.withColumn("large", share > 1 / SHARE), "units")
-    large = units.filter("large").toPandas().sort_values(["h1", "h2", "part"], ignore_index=True)
+    groups = _spark.stored(rows.groupBy("h1", "h2").agg(*vector).withColumn("large", share > 1 / SHARE), "groups")
+    # at most 3 * SHARE * shards groups are large, for their shares sum to 3 * shards
+    large = groups.filter("large").toPandas().sort_values(["h1", "h2"], ignore_index=True)
     residual = np.tile(capacity, (shards, 1))
-    large["shard"] = pack(large[["size", "tokens", "n"]].to_numpy(float), residual)
+    own = large[["size", "tokens", "n"]].to_numpy(float)
+    large["shard"] = place_large(own, residual, 2 * capacity[0] / SPLIT)
+    # only what fits nowhere as a whole is cut, into parts that do
+    cut = large[large["shard"] < 0]
+    cut = cut.assign(parts=np.minimum(np.ceil(cut["size"] / max(capacity[0] / SPLIT, 1e-9)) + 1, cut["n"]).astype(int))
+    whole = large[large["shard"] >= 0].assign(part=0)[["h1", "h2", "part", "shard"]]
+    rows = rows.withColumn("part", F.lit(0))
+    if len(cut):
+        named = F.broadcast(spark.createDataFrame(cut[["h1", "h2", "parts"]], "g1 long, g2 long, parts int"))
+        rows = rows.join(named, (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2")), "left")
+        # by the row's number, for all rows of a group may have one id
+        rows = rows.withColumn("part", F.coalesce(F.pmod(F.xxhash64("row"), F.col("parts")), F.lit(0)).cast("int")).drop("g1", "g2", "parts")
+        inside = rows.join(named, (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2")), "left_semi").groupBy("h1", "h2", "part").agg(*vector)
+        parts = inside.toPandas().sort_values(["h1", "h2", "part"], ignore_index=True)
+        parts["shard"] = pack(parts[["size", "tokens", "n"]].to_numpy(float), residual)
+        whole = pd.concat([whole, parts[["h1", "h2", "part", "shard"]]], ignore_index=True)
     residual = np.maximum(residual, 0)
-    small_total = np.maximum(residual.sum(0), 1e-9)
-    ratio = residual / small_total
-    buckets = max(1, math.ceil(units.count() / BUCKET))
+    ratio = residual / np.maximum(residual.sum(0), 1e-9)
+    buckets = max(1, math.ceil(groups.count() / BUCKET))
 
     def fill(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["h1", "h2", "part"], ignore_index=True)
+        pdf = pdf.sort_values(["h1", "h2"], ignore_index=True)
         own = pdf[["size", "tokens", "n"]].to_numpy(float)
-        return pdf[["h1", "h2", "part"]].assign(shard=pack(own, ratio * own.sum(0)))
+        return pdf[["h1", "h2"]].assign(part=np.int32(0), shard=pack(own, ratio * own.sum(0)))
 
     schema = "h1 long, h2 long, part int, shard int"
-    small = (
-        units.filter("not large")
-        .withColumn("bucket", F.pmod(F.xxhash64("h1", "h2", "part"), F.lit(buckets)))
-        .groupBy("bucket")
-        .applyInPandas(fill, schema)
-    )
-    placed = small.unionByName(spark.createDataFrame(large[["h1", "h2", "part", "shard"]], schema)) if len(large) else small
-    rows = _spark.stored(rows.join(placed, ["h1", "h2", "part"]), "placed")
+    small = groups.filter("not large").withColumn("bucket", F.pmod(F.xxhash64("h1", "h2"), F.lit(buckets))).groupBy("bucket").applyInPandas(fill, schema)
+    if len(whole):
+        # large groups go by broadcast, for all rows of one would meet in one task
+        known = F.broadcast(spark.createDataFrame(whole, schema).toDF("g1", "g2", "p2", "shard"))
+        same = (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2")) & (F.col("part") == F.col("p2"))
+        first = rows.join(known, same).drop("g1", "g2", "p2")
+        rest = rows.join(known, same, "left_anti").join(small, ["h1", "h2", "part"])
+        placed = first.unionByName(rest)
+    else:
+        placed = rows.join(small, ["h1", "h2", "part"])
+    rows = _spark.stored(placed, "placed")
     bins = max(1, math.ceil(total[2] / shards / SLOT_BIN))
-    rows = rows.withColumn("bin", F.pmod(F.xxhash64("doc_id", "h1"), F.lit(bins)))
+    rows = rows.withColumn("bin", F.pmod(F.xxhash64("row"), F.lit(bins)))
     counts = rows.groupBy("shard", "bin").agg(F.count(F.lit(1)).alias("n"))
     upto = Window.partitionBy("shard").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     start = counts.select(F.col("shard").alias("s"), F.col("bin").alias("b"), F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("start"))
-    place = F.row_number().over(Window.partitionBy("shard", "bin").orderBy("doc_id", "h1", "h2"))
+    place = F.row_number().over(Window.partitionBy("shard", "bin").orderBy("doc_id", "h1", "h2", "row"))
     return (
         rows.withColumn("place", place)
         .join(start, (F.col("shard") == F.col("s")) & (F.col("bin") == F.col("b")))
