@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from . import _spark, _text
 
 TOXIC_ROWS, CLEAN_ROWS = 4000, 8000
-POSITIVE, NEGATIVE, HARD, LANDMARKS = 192, 12_000, 4000, 384
+POSITIVE, NEGATIVE, HARD, LANDMARKS = 4096, 12_000, 4000, 384
 #: The strongest positive units, of which virtual examples with an inserted letter are made.
 VIRTUAL = 48
 WINDOW, DECAY, SPAN = 24, 0.6, 6
@@ -275,14 +275,15 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if not sizes.get(0) or not sizes.get(1):
         return None
     # copies of a text are one candidate, so that they can't fill the sample; only ids and hashes move
-    hashed = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("h"))
+    text = F.col(text_col).cast("string")
+    hashed = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("h"))
     rank = F.struct(F.xxhash64("id", F.lit(11)).alias("rank"), "id")
-    texts = _spark.stored(known.join(hashed, "id").groupBy("toxic", "h").agg(F.min(rank).alias("m")).select("toxic", "m.rank", "m.id"), "texts")
-    pick = lambda kind, rows: texts.filter(F.col("toxic") == kind).orderBy("rank", "id").limit(rows).select("id", "toxic").distinct()
+    texts = _spark.stored(known.join(hashed, "id").groupBy("toxic", "h").agg(F.min(rank).alias("m")).select("toxic", "h", "m.rank", "m.id"), "texts")
+    pick = lambda kind, rows: texts.filter(F.col("toxic") == kind).orderBy("rank", "id", "h").limit(rows).select("id", "h", "toxic")
     chosen = pick(1, toxic_rows).unionByName(pick(0, clean_rows))
-    # at most toxic_rows + clean_rows rows
-    sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(_spark.stored(chosen, "chosen")), "id")
-    sample = _spark.stored(sample.select("id", "toxic", "text"), "sample")
+    # at most toxic_rows + clean_rows rows; an id's other texts, and repeated rows, don't come in
+    sample = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(text).alias("h")).join(F.broadcast(_spark.stored(chosen, "chosen")), ["id", "h"])
+    sample = _spark.stored(sample.dropDuplicates(["id", "h"]).select("id", "toxic", "text"), "sample")
 
     def spread(parts):
         for part in parts:

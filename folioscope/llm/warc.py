@@ -19,6 +19,7 @@ import hashlib
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from . import _spark
 
 #: Raw bytes after which a task begins its next archive, and rows up to which repeated digests are broadcast.
-ARCHIVE_BYTES, BROADCAST_ROWS = 48 << 20, 100_000
+ARCHIVE_BYTES, BROADCAST_ROWS, INFLATED = 48 << 20, 100_000, 1 << 20
 _END = b"\r\n\r\n"
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
@@ -55,13 +56,18 @@ def record(page_id: object, url: str | None, payload: bytes, digest: str, refers
         f"X-Payload-Bytes: {len(payload)}",
     ]
     if page_id is not None:
-        head.append(f"X-Page-ID: {page_id}")
+        head.append(f"X-Page-ID: {_written(page_id)}")
     if revisit:
-        head += [f"WARC-Profile: {_PROFILE}", f"WARC-Refers-To: <urn:uuid:{uuid.uuid5(_SPACE, f'{refers_to} {digest}')}>", f"X-Refers-To-Page-ID: {refers_to}"]
+        head += [f"WARC-Profile: {_PROFILE}", f"WARC-Refers-To: <urn:uuid:{uuid.uuid5(_SPACE, f'{refers_to} {digest}')}>", f"X-Refers-To-Page-ID: {_written(refers_to)}"]
     head.append(f"Content-Length: {len(block)}")
     return "\r\n".join(head).encode() + _END + block + _END
 
 
+def _written(value: object) -> str:
+    """An id as a header's value: everything but letters, digits and -_.~ as %XX, so that spaces and line ends survive."""
+    return quote(str(value), safe="")
+
+
 def headers(head: bytes) -> dict[str, str]:
     lines = head.decode("utf-8", "replace").split("\r\n")
     if not lines[0].startswith("WARC/"):
@@ -76,10 +82,11 @@ def inflated(chunks: Iterable[bytes]) -> Iterator[bytes]:
         while chunk:
             if own.eof:
                 own = zlib.decompressobj(31)
-            out = own.decompress(chunk)
+            # a bound on what comes out at once: a megabyte may hold a gigabyte
+            out = own.decompress(chunk, INFLATED)
             if out:
                 yield out
-            chunk = own.unused_data if own.eof else b""
+            chunk = own.unused_data if own.eof else own.unconsumed_tail
     if not own.eof:
         raise ValueError("the gzip stream ends early")
 
@@ -158,7 +165,8 @@ def read_archive(archive: str) -> Iterator[tuple]:
                 body = payload(block)
                 if len(body) != size or hashlib.sha256(body).hexdigest() != digest:
                     raise ValueError(f"{archive} at {offset}: the payload doesn't have its digest")
-            yield head.get("x-page-id"), size, digest, kind, head.get("x-refers-to-page-id")
+            page, refers = (head.get(k) for k in ("x-page-id", "x-refers-to-page-id"))
+            yield page if page is None else unquote(page), size, digest, kind, refers if refers is None else unquote(refers)
 
 
 def decided(pages: DataFrame, min_revisit: int = 100, id_col: str = "page_id", html_col: str = "html", url_col: str = "url") -> DataFrame:
