@@ -51,7 +51,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._folioscope_path = path
+    return out
+
+
+def drop(table: DataFrame) -> None:
+    """Deletes a :func:`stored` table that nothing reads any more."""
+    discard(table.sparkSession, table._folioscope_path)
 
 
 _caches: list[Callable[[], None]] = []
