@@ -7,15 +7,19 @@ import ctypes
 import os
 import re
 import tempfile
+import threading
 import uuid
 import zipfile
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
+#: Scratch paths of this thread.
+_made = threading.local()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,6 +36,7 @@ def shared_dir(spark: SparkSession) -> str:
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder, removed when the driver ends."""
     path = f"{shared_dir(spark)}/folioscope-{name}-{uuid.uuid4().hex}"
+    _made.paths = [*getattr(_made, "paths", []), path]
     atexit.register(discard, spark, path)
     return path
 
@@ -56,6 +61,22 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Deletes at its end what was stored within, but for the tables given to the function it yields."""
+    before, kept = set(getattr(_made, "paths", [])), set()
+
+    def keep(table: DataFrame) -> DataFrame:
+        kept.add(table._folioscope_path)
+        return table
+
+    yield keep
+    for path in getattr(_made, "paths", []):
+        if path not in before | kept:
+            discard(spark, path)
+    _made.paths = [p for p in getattr(_made, "paths", []) if p in before | kept]
+
+
 def drop(table: DataFrame) -> None:
     """Deletes a :func:`stored` table that nothing reads any more."""
     discard(table.sparkSession, table._folioscope_path)

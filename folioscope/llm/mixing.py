@@ -165,9 +165,10 @@ def mixed_documents(docs: DataFrame, seed: int = 9, id_col: str = "doc_id", text
     # columns go by place, so that no name can clash
     names = [f"c{k}" for k in range(len(docs.columns))]
     own_id, own_text = (names[docs.columns.index(c)] for c in (id_col, text_col))
-    chosen = mix(docs, seed, id_col=id_col, text_col=text_col, source_col=source_col)
-    chosen = chosen.groupBy(F.col("doc_id").alias("id"), F.col("h").alias("h2")).agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("rows")).filter("copies > 0")
-    chosen = _spark.stored(chosen, "chosen")
+    with _spark.temporary(docs.sparkSession) as keep:
+        chosen = mix(docs, seed, id_col=id_col, text_col=text_col, source_col=source_col)
+        chosen = chosen.groupBy(F.col("doc_id").alias("id"), F.col("h").alias("h2")).agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("rows")).filter("copies > 0")
+        chosen = keep(_spark.stored(chosen, "chosen"))
     same = F.col(own_id).eqNullSafe(F.col("id")) & (F.col("h") == F.col("h2"))
     keyed = docs.toDF(*names).withColumn("h", F.xxhash64(own_id, own_text, F.lit(seed)))
     out = keyed.join(chosen.filter("rows = 1 and copies <= 3"), same)

@@ -158,9 +158,13 @@ def _confirmed(docs: DataFrame, pairs: DataFrame, text_col: str, id_col: str, ki
     return placed.transform(_spark.in_arrow, run, "a long, b long, both long, whole long")
 
 
-def _across(crowded: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs (a, b) of nodes of different components that share a bucket; ``crowded`` has (band, node, c)."""
-    found = None
+def _across(crowded: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes of different components that share a bucket; ``crowded`` has (band, node, c).
+
+    A second band tells a crowded bucket apart.  Only bands of this table come into question: two nodes of
+    different components that share another one are both in it, but for hubs, which have met all others.
+    """
+    found, bands = None, crowded.select("node", F.col("band").alias("b2"))
     for depth in range(DEEPER + 1):
         big = crowded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > CROWD).select("band")
         small = crowded
@@ -175,7 +179,7 @@ def _across(crowded: DataFrame, nodes: DataFrame) -> DataFrame:
         found = pairs if found is None else found.unionByName(pairs)
         if depth == DEEPER or not more:
             return found.distinct()
-        inner = crowded.join(big, "band", "left_semi").join(nodes.select("node", F.explode("bands").alias("b2")), "node").filter("b2 <> band")
+        inner = crowded.join(big, "band", "left_semi").join(bands, "node").filter("b2 <> band")
         inner = _spark.stored(inner.select(F.xxhash64(F.least("band", "b2"), F.greatest("band", "b2")).alias("band"), "node", "c").distinct(), "inner")
         mixed = inner.groupBy("band").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 < c1").select("band")
         crowded = _spark.stored(inner.join(mixed, "band", "left_semi"), "deeper")
@@ -206,7 +210,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kin
     mixed = root.groupBy("band").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 < c1").select("band")
     # the hub itself has met all others
     open_ = _spark.stored(root.join(mixed, "band", "left_semi").filter("node <> hub").select("band", "node", "c"), "open")
-    rest = _across(open_, nodes).join(pairs, ["a", "b"], "left_anti")
+    rest = _across(open_).join(pairs, ["a", "b"], "left_anti")
     more = _spark.stored(_confirmed(docs, _spark.stored(_likely(rest, nodes, kind), "likely"), text_col, id_col, kind), "links")
     if not more.isEmpty():
         links = links.unionByName(more)
@@ -222,8 +226,9 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kin
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each group, the smallest id, with all its columns; of repeated rows one stays."""
-    kept = groups(docs, id_col, text_col).filter("kept").groupBy("uid").agg(F.count(F.lit(1)).alias("times"))
-    kept = _spark.stored(kept, "kept")
+    with _spark.temporary(docs.sparkSession) as keep:
+        kept = groups(docs, id_col, text_col).filter("kept").groupBy("uid").agg(F.count(F.lit(1)).alias("times"))
+        kept = keep(_spark.stored(kept, "kept"))
     # columns go by place, so that no name can clash
     names = [f"c{k}" for k in range(len(docs.columns))]
     own_id, own_text = (F.col(names[docs.columns.index(c)]) for c in (id_col, text_col))
