@@ -131,8 +131,8 @@ def norm_pages(c: Column) -> Column:
 
 
 def authors(c: Column) -> Column:
-    """Names of a list that is joined by 'and'; a name in braces stays whole where it has no ' and '."""
-    return F.filter(F.transform(F.split(c, r"(?i)\s+and\s+"), F.trim), lambda x: x != "")
+    """Names of a list that is joined by 'and'; an 'and' inside braces joins nothing."""
+    return F.filter(F.transform(F.split(c, r"(?i)\s+and\s+(?![^{}]*\})"), F.trim), lambda x: x != "")
 
 
 def surname(name: Column) -> Column:

@@ -13,6 +13,8 @@ from ..functions import text as T
 
 ID = ["file_id", "entry_seq"]
 SOFT = ("year", "volume", "number", "pages")
+#: Rows of a dimension of accepted forms.
+MOST_FORMS = 20_000
 
 
 def _soft(name: str, c: Column) -> Column:
@@ -97,11 +99,17 @@ def journal_verdict(ours: Column, theirs: Column) -> Column:
 
 
 def closest_form(values: DataFrame, forms: DataFrame) -> DataFrame:
-    """For (id, value): the nearest of the forms by edit distance within the block of the first letter; ties to the shorter."""
-    block = lambda c: F.substring(F.col(c), 1, 1)
-    met = values.withColumn("b", block("value")).join(forms.select("form", block("form").alias("b")), "b")
-    distance = F.levenshtein("value", "form")
-    return met.groupBy("id", "value").agg(F.min(F.struct(distance.alias("distance"), F.length("form").alias("size"), F.col("form"))).alias("m")).select("id", "value", "m.form", "m.distance")
+    """For (id, value): the nearest of all forms by edit distance, without braces and case; ties to the shorter, then in order.
+
+    Forms are a dimension of at most ``MOST_FORMS`` rows, sent to every task as one row; more are refused.
+    """
+    if forms.limit(MOST_FORMS + 1).count() > MOST_FORMS:
+        raise ValueError(f"more than {MOST_FORMS} forms: pass the dimension of one field")
+    plain = lambda c: F.lower(F.regexp_replace(c, "[{}]", ""))
+    every = forms.select("form").distinct().agg(F.array_sort(F.collect_list("form")).alias("forms"))
+    nearest = F.array_min(F.transform("forms", lambda f: F.struct(F.levenshtein(plain(F.col("value")), plain(f)).alias("distance"), F.length(f).alias("size"), f.alias("form"))))
+    met = values.join(F.broadcast(every), F.lit(True)).select("id", "value", nearest.alias("m"))
+    return met.filter("m is not null").select("id", "value", "m.form", "m.distance")
 
 
 def accepted_hits(wanted: DataFrame, hits: DataFrame, least: float = 0.8, most_hits: int = 8) -> DataFrame:

@@ -92,7 +92,7 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     swap = k % 19 == 0
     own, other = name(F.col("c")), name(k)
     one = rows.select(
-        "file_id", "entry_seq", F.lit("crossref").alias("source"), F.lit(0).alias("ord"), "title",
+        "file_id", "entry_seq", F.lit("crossref").alias("source"), F.lit(0).alias("ord"), F.when(k % 23 == 0, "Unlike matter altogether").otherwise(F.col("title")).alias("title"),
         F.array(F.when(swap, other).otherwise(own), F.when(swap, own).otherwise(other)).alias("authors"),
         _text(F.col("y") + F.when(k % 7 == 0, 1).otherwise(0)).alias("year"), "volume", F.lit(None).cast("string").alias("number"),
         F.concat(_text(start), F.lit("-"), _text(start + k % 20)).alias("pages"), "journal", "doi",

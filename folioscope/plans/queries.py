@@ -215,11 +215,11 @@ def citation_order(spark, sf_dir):
     return citations.out_of_order(groups, years).select("group_id")
 
 
-@query("""SELECT s_suppkey AS id, form, distance FROM (SELECT s_suppkey, form, levenshtein(v, form) AS distance, row_number() OVER (PARTITION BY s_suppkey ORDER BY levenshtein(v, form), length(form), form) AS n
-FROM (SELECT s_suppkey, 'name' || (s_suppkey * 37) AS v FROM supplier), (SELECT DISTINCT 'name' || (n_nationkey * 91) AS form FROM nation)) WHERE n = 1""")
+@query("""SELECT s_suppkey AS id, form, distance FROM (SELECT s_suppkey, form, levenshtein(lower(v), lower(form)) AS distance, row_number() OVER (PARTITION BY s_suppkey ORDER BY levenshtein(lower(v), lower(form)), length(form), form) AS n
+FROM (SELECT s_suppkey, substr('NamekXyz', CAST(s_suppkey % 5 + 1 AS INT)) || (s_suppkey * 37) AS v FROM supplier), (SELECT DISTINCT substr('namexyz', CAST(n_nationkey % 4 + 1 AS INT)) || (n_nationkey * 91) AS form FROM nation)) WHERE n = 1""")
 def closest_form(spark, sf_dir):
-    values = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.concat(F.lit("name"), (F.col("s_suppkey") * 37).cast("string")).alias("value"))
-    forms = table(spark, sf_dir, "nation").select(F.concat(F.lit("name"), (F.col("n_nationkey") * 91).cast("string")).alias("form")).distinct()
+    values = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.concat(F.expr("substr('NamekXyz', int(s_suppkey % 5 + 1))"), (F.col("s_suppkey") * 37).cast("string")).alias("value"))
+    forms = table(spark, sf_dir, "nation").select(F.concat(F.expr("substr('namexyz', int(n_nationkey % 4 + 1))"), (F.col("n_nationkey") * 91).cast("string")).alias("form")).distinct()
     return compare.closest_form(values, forms).select("id", "form", F.col("distance").cast("long").alias("distance"))
 
 
@@ -239,14 +239,17 @@ def doi_search_accept(spark, sf_dir):
 
 _CLASSIFIED = """, cats AS (
   SELECT f.entry_seq, f.key, f.doi <> '' AS has_id, (SELECT count(*) FROM recs r WHERE r.entry_seq = f.entry_seq) AS sources,
-    EXISTS (SELECT 1 FROM recs r WHERE r.entry_seq = f.entry_seq AND ((f.year <> '' AND r.year <> f.year) OR r.volume <> f.volume OR (r.pages IS NOT NULL AND r.pages <> replace(f.pages, '--', '-'))))
+    EXISTS (SELECT 1 FROM recs r WHERE r.entry_seq = f.entry_seq AND ((f.year <> '' AND r.year <> f.year) OR r.volume <> f.volume OR (f.etype <> 'book' AND r.pages IS NOT NULL AND r.pages <> replace(f.pages, '--', '-'))))
+      OR (f.doi <> '' AND f.entry_seq % 23 = 0 AND NOT (f.entry_seq % 19 = 0 AND f.c % 7 <> f.entry_seq % 7))
       OR (f.doi <> '' AND f.entry_seq % 19 = 0 AND f.c % 7 <> f.entry_seq % 7) AS mm,
     (SELECT count(*) FROM recs a JOIN recs b ON a.entry_seq = b.entry_seq AND a.ord < b.ord WHERE a.entry_seq = f.entry_seq AND a.year <> b.year AND f.year <> a.year AND f.year <> b.year)
-      + (SELECT count(*) FROM recs a JOIN recs b ON a.entry_seq = b.entry_seq AND a.ord < b.ord WHERE a.entry_seq = f.entry_seq AND a.volume <> b.volume AND f.volume <> a.volume AND f.volume <> b.volume) AS sc
+      + (SELECT count(*) FROM recs a JOIN recs b ON a.entry_seq = b.entry_seq AND a.ord < b.ord WHERE a.entry_seq = f.entry_seq AND a.volume <> b.volume AND f.volume <> a.volume AND f.volume <> b.volume) AS sc,
+    f.doi <> '' AND f.entry_seq % 437 = 0 AND f.c % 7 <> f.entry_seq % 7 AS wrong,
+    (f.etype = 'book' AND f.isbn = '' AND f.doi = '' OR f.etype IN ('article', 'inproceedings') AND f.doi = '') AND (f.year = '' OR f.year >= '2005') AS nopid
   FROM flat f
 ), st AS (
-  SELECT *, CASE WHEN sources = 0 THEN 'unverified' ELSE 'verified' END AS status,
-    CASE WHEN sources = 0 AND has_id THEN 0.1 WHEN sources = 0 THEN 0.2 WHEN sc > 0 THEN 0.7 WHEN mm THEN 0.75 WHEN sources = 1 THEN 0.95 ELSE 1.0 END AS confidence
+  SELECT *, CASE WHEN wrong THEN 'mismatch' WHEN sources = 0 THEN 'unverified' ELSE 'verified' END AS status,
+    CASE WHEN sources = 0 AND has_id THEN 0.1 WHEN sources = 0 THEN 0.2 WHEN wrong THEN 0.3 WHEN sc > 0 THEN 0.7 WHEN mm THEN 0.75 WHEN sources = 1 THEN 0.95 ELSE 1.0 END AS confidence
   FROM cats
 )
 """
@@ -263,10 +266,10 @@ def classify_status(spark, sf_dir):
     (SELECT entry_seq FROM (SELECT entry_seq, row_number() OVER (PARTITION BY doi ORDER BY entry_seq) AS n FROM flat WHERE doi <> '') WHERE n > 1)) AS d
 )
 SELECT count(*) AS checked, count(*) FILTER (WHERE status = 'verified' AND NOT (mm OR sc > 0)) AS verified, count(*) FILTER (WHERE status = 'verified' AND (mm OR sc > 0)) AS verified_with_caveat,
-  count(*) FILTER (WHERE status = 'unverified') AS unverified, CAST(0 AS BIGINT) AS mismatch, max(d) AS duplicates, CAST(sum(sc) AS BIGINT) AS source_conflicts,
+  count(*) FILTER (WHERE status = 'unverified') AS unverified, count(*) FILTER (WHERE wrong) AS mismatch, max(d) AS duplicates, CAST(sum(sc) AS BIGINT) AS source_conflicts,
   round_even(CAST(count(*) FILTER (WHERE has_id) AS DOUBLE) / count(*), 3) AS doi_coverage,
-  CAST(round_even(greatest(CAST(sum(CASE WHEN status = 'unverified' THEN 30 WHEN mm THEN 80 ELSE 100 END) AS DOUBLE) / count(*) - 10 * max(d), 0), 0) AS INTEGER) AS integrity_score,
-  CAST(round_even(CAST(sum(CASE WHEN status = 'unverified' THEN 10 ELSE 100 END) AS DOUBLE) / count(*), 0) AS INTEGER) AS confidence_score
+  CAST(round_even(greatest(CAST(sum(CASE WHEN wrong THEN 20 WHEN status = 'unverified' THEN 30 WHEN mm THEN 80 WHEN nopid THEN 85 ELSE 100 END) AS DOUBLE) / count(*) - 10 * max(d), 0), 0) AS INTEGER) AS integrity_score,
+  CAST(round_even(CAST(sum(CASE WHEN wrong THEN 30 WHEN status = 'unverified' THEN 10 ELSE 100 END) AS DOUBLE) / count(*), 0) AS INTEGER) AS confidence_score
 FROM st, dup""", True)
 def integrity_summary(spark, sf_dir):
     return A.audit(D.entries(spark, sf_dir), D.records(spark, sf_dir)).summary

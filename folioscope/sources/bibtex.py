@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator
 
@@ -51,7 +52,7 @@ def _close(text: str, at: int, opener: str) -> int:
     closer, depth = ")" if opener == "(" else "}", 0
     for k in range(at, len(text)):
         c = text[k]
-        if c == "@" and text[:k].rpartition("\n")[2].strip() == "" and _HEAD.match(text, k):
+        if c == "@" and not text[text.rfind("\n", 0, k) + 1 : k].strip() and _HEAD.match(text, k):
             return -1
         if c == closer and depth == 0:
             return k
@@ -130,7 +131,8 @@ def _fields(body: str, macros: dict[str, str]) -> tuple[list[tuple[str, str, int
 def parse(text: str, file_id: str = "") -> Iterator[dict]:
     """Rows of one file: entries (``kind`` null) and problems (``kind`` names the sort)."""
     clean, at, seq, macros = _uncommented(text), 0, 0, {}
-    line = lambda k: clean.count("\n", 0, k) + 1
+    ends = [m.start() for m in re.finditer("\n", clean)]
+    line = lambda k: bisect.bisect_left(ends, k) + 1
     empty = {"file_id": file_id, "entry_seq": None, "key": None, "etype": None, "fields": None, "occurrences": None, "field_lines": None, "raw": None}
 
     def problem(kind: str, where: int, message: str) -> dict:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import re
 
 import pandas as pd
@@ -20,12 +21,13 @@ def without_comments(text: str) -> str:
 def occurrences(path: str, text: str):
     clean = without_comments(text)
     edges = [0, *[m.end() for m in _STOP.finditer(clean)], len(clean)]
+    ends = [m.start() for m in re.finditer("\n", clean)]
     for m in _CITE.finditer(clean):
         keys = [k.strip() for k in m[1].split(",") if k.strip() and not k.strip().startswith("#")]
         if keys:
-            at = max(k for k, e in enumerate(edges[:-1]) if e <= m.start())
+            at = bisect.bisect_right(edges, m.start(), 0, len(edges) - 1) - 1
             lo, hi = edges[max(at - 1, 0)], edges[min(at + 2, len(edges) - 1)]
-            yield path, clean.count("\n", 0, m.start()) + 1, keys, re.sub(r"\s+", " ", clean[lo:hi]).strip()
+            yield path, bisect.bisect_left(ends, m.start()) + 1, keys, re.sub(r"\s+", " ", clean[lo:hi]).strip()
 
 
 def citations(files: DataFrame) -> DataFrame:
