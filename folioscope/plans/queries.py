@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import catalog as C
 from ..operators import citations, compare, rules, status, windows
+from ..streaming import resume
 from . import audit as A
 from . import derived as D
+from . import planted
 
 QUERIES, ORACLES = {}, {}
 
@@ -61,11 +63,6 @@ def miscased_titles(spark, sf_dir):
     return rows.select("doc_id", F.size(F.regexp_extract_all("line", F.lit(r"([A-Za-z]{2,})"), 1)).cast("long").alias("n_words"))
 
 
-@query("SELECT doc_id FROM documents WHERE regexp_matches(text, '[\\x{00a0}\\x{2007}\\x{202f}\\x{200b}-\\x{200d}\\x{2060}\\x{feff}\\x{200e}\\x{200f}\\x{2028}\\x{2029}\\x{00ad}]')")
-def invisible_chars(spark, sf_dir):
-    return table(spark, sf_dir, "documents").filter(F.col("text").rlike("[   ​-‍⁠﻿‎‏  ­]")).select("doc_id")
-
-
 @query("SELECT page_id, CAST(len(regexp_extract_all(html, '&(?:[A-Za-z]+|#[0-9]+);')) AS BIGINT) AS n_entities FROM pages WHERE html IS NOT NULL")
 def html_entities(spark, sf_dir):
     return table(spark, sf_dir, "pages").filter("html is not null").select("page_id", F.regexp_count("html", F.lit("&(?:[A-Za-z]+|#[0-9]+);")).cast("long").alias("n_entities"))
@@ -96,16 +93,6 @@ def last_write_wins(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy("user_id").agg(F.max("event_id").alias("event_id"), F.max_by("event_type", "event_id").alias("event_type"))
 
 
-@query("""WITH t AS (SELECT DISTINCT event_type FROM events), s AS (SELECT DISTINCT user_id, event_type FROM events)
-SELECT u.user_id, t.event_type AS todo FROM (SELECT DISTINCT user_id FROM events) u CROSS JOIN t ANTI JOIN s ON s.user_id = u.user_id AND s.event_type = t.event_type""")
-def phase_todo(spark, sf_dir):
-    """Phases that a user's events haven't reached; the phases are a dimension of a few names, gathered as one array."""
-    seen = table(spark, sf_dir, "events").groupBy("user_id").agg(F.collect_set("event_type").alias("seen"))
-    phases = table(spark, sf_dir, "events").agg(F.array_sort(F.collect_set("event_type"))).first()[0]
-    every = F.array(*map(F.lit, phases)) if phases else F.array().cast("array<string>")
-    return seen.select("user_id", F.explode(F.array_except(every, "seen")).alias("todo"))
-
-
 @query("SELECT doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
 def uncovered_docs(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id").join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_anti")
@@ -134,11 +121,6 @@ def checksum_issn(spark, sf_dir):
     return table(spark, sf_dir, "supplier").select("s_suppkey", T.issn_valid(F.lpad((F.col("s_suppkey") * 7919 % 100000000).cast("string"), 8, "0")).alias("valid"))
 
 
-@query("SELECT key, field, 'style' AS category FROM (SELECT key, 'doi' AS field FROM flat WHERE false)", True)
-def doi_style(spark, sf_dir):
-    return rules.entry_findings(D.entries(spark, sf_dir), only=["doi_format"]).select("key", "field", "category")
-
-
 @query("""SELECT f.key, d.source, d.field FROM flat f JOIN (
 SELECT r.entry_seq, r.source, 'year' AS field FROM recs r JOIN flat g USING (entry_seq) WHERE g.year <> '' AND r.year <> g.year
 UNION ALL SELECT r.entry_seq, r.source, 'volume' FROM recs r JOIN flat g USING (entry_seq) WHERE r.volume <> g.volume
@@ -182,12 +164,6 @@ def duplicate_fingerprint(spark, sf_dir):
     return windows.duplicate_works(D.entries(spark, sf_dir)).select("entry_seq", "key", "first_key")
 
 
-@query("SELECT 'x' AS form, CAST(0 AS BIGINT) AS n WHERE false")
-def author_form_census(spark, sf_dir):
-    """Every derived author is in the comma form, so no file has both."""
-    return windows.author_form_census(D.entries(spark, sf_dir)).select("form", "n")
-
-
 _CITED = "(SELECT DISTINCT l_suppkey AS g, 'o' || CASE WHEN l_orderkey % 101 = 0 THEN -1 - l_orderkey ELSE l_orderkey END AS key FROM lineitem)"
 
 
@@ -297,3 +273,37 @@ def supersede_live(spark, sf_dir):
 @query("SELECT category, \"group\", pinned FROM (VALUES " + ", ".join(f"('{c}', '{g}', {repr(p) if p else 'NULL'})" for c, g, p in C.categories()) + ") AS t(category, \"group\", pinned)")
 def catalog_rows(spark, sf_dir):
     return C.catalog(spark).select("category", "group", "pinned")
+
+
+@query("""SELECT o_orderkey AS entry_seq, CASE WHEN o_orderkey % 3 = 0 THEN 'offline online llm' WHEN o_orderkey % 4 = 0 THEN 'offline online llm' WHEN o_orderkey % 4 = 1 THEN 'online llm' ELSE 'llm' END AS todo
+FROM orders WHERE o_orderkey % 3 = 0 OR o_orderkey % 4 <> 3""")
+def phase_todo(spark, sf_dir):
+    """Phases left of entries with saved results: a changed text asks for all, rating asks for the record phase first."""
+    k = F.col("o_orderkey")
+    own = table(spark, sf_dir, "orders").select(k.alias("entry_seq"), k.cast("string").alias("key"), F.concat(F.lit("text "), k.cast("string")).alias("raw"))
+    phases = F.array(*map(F.lit, ("offline", "online", "llm")))
+    done = own.select("key", F.sha2(F.when(F.col("entry_seq") % 3 == 0, "an older text").otherwise(F.col("raw")), 256).alias("raw_hash"), F.slice(phases, F.lit(1), (F.col("entry_seq") % 4).cast("int")).alias("done"))
+    todo = resume.needed(own.select("key", "raw"), done, ["offline", "llm"]).filter(F.size("todo") > 0)
+    in_order = F.array_join(F.array_intersect(phases, "todo"), " ")
+    return todo.select(F.col("key").cast("long").alias("entry_seq"), in_order.alias("todo"))
+
+
+@query("""WITH l AS (SELECT DISTINCT lower(regexp_replace(list_element(string_split(coalesce(text, ''), chr(10)), 1), '[^A-Za-z0-9 ]', ' ', 'g')) AS line FROM documents),
+w AS (SELECT line, list_distinct([x FOR x IN string_split(line, ' ') IF x <> '']) AS ws FROM l), b AS (SELECT item_id, list_distinct([x FOR x IN string_split(lower(regexp_replace(coalesce(text, ''), '[^A-Za-z0-9 ]', ' ', 'g')), ' ') IF x <> '']) AS ws FROM benchmark)
+SELECT b.item_id, count(*) AS n FROM b JOIN w ON len(list_intersect(b.ws, w.ws)) >= 0.2 * len(list_distinct(list_concat(b.ws, w.ws))) AND len(w.ws) > 0 AND len(b.ws) > 0 GROUP BY b.item_id""")
+def jaccard_pairs(spark, sf_dir):
+    """Benchmark items against the distinct first lines of documents (a line stands for a title): lines that share a fifth of the words.
+
+    Words are joined, and shared words counted, so no line meets an item with which it shares nothing.
+    """
+    plain = lambda c: F.array_distinct(F.filter(F.split(F.lower(F.regexp_replace(c, "[^A-Za-z0-9 ]", " ")), " "), lambda x: x != ""))
+    lines = first_lines(spark, sf_dir).select(F.lower(F.regexp_replace("line", "[^A-Za-z0-9 ]", " ")).alias("line")).distinct().select(F.xxhash64("line").alias("id"), plain(F.col("line")).alias("ws"))
+    items = table(spark, sf_dir, "benchmark").select("item_id", plain(F.coalesce("text", F.lit(""))).alias("bs"))
+    a = items.select("item_id", F.size("bs").alias("nb"), F.explode("bs").alias("w"))
+    b = lines.select("id", F.size("ws").alias("nw"), F.explode("ws").alias("w"))
+    met = a.join(b, "w").groupBy("item_id", "id", "nb", "nw").agg(F.count(F.lit(1)).alias("both"))
+    return met.filter(F.col("both") >= 0.2 * (F.col("nb") + F.col("nw") - F.col("both"))).groupBy("item_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+QUERIES.update(planted.QUERIES)
+ORACLES.update(planted.ORACLES)
