@@ -33,6 +33,8 @@ from . import _spark, _text
 BIN, RUN = 4096, 512
 #: Rows up to which the table of sources is broadcast; beyond, the join is left to the planner.
 BROADCAST_ROWS = 50_000
+#: Documents up to which the decisions about them are broadcast (about 40 bytes each); beyond, the join is left to the planner.
+MOVED_ROWS = 250_000
 
 
 def word_counts(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
@@ -171,7 +173,9 @@ def mixed_documents(docs: DataFrame, seed: int = 9, id_col: str = "doc_id", text
         chosen = keep(_spark.stored(chosen, "chosen"))
     same = F.col(own_id).eqNullSafe(F.col("id")) & (F.col("h") == F.col("h2"))
     keyed = docs.toDF(*names).withColumn("h", F.xxhash64(own_id, own_text, F.lit(seed)))
-    out = keyed.join(chosen.filter("rows = 1 and copies <= 3"), same)
+    single = chosen.filter("rows = 1 and copies <= 3")
+    # a short list of decisions goes to the texts, so that no text moves
+    out = keyed.join(F.broadcast(single) if chosen.count() <= MOVED_ROWS else single, same)
     hot = chosen.filter("rows > 1 or copies > 3")
     many = None
     if not hot.isEmpty():

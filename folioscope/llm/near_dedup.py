@@ -41,7 +41,9 @@ WIDTH, PERMUTATIONS, ROWS = 5, 104, 4
 #: Least share of agreeing sketch components of a pair that is confirmed, and members of one part of a hub.
 AGREE, PART = 0.5, 256
 #: Nodes of a bucket with several components beyond which further bands tell them apart, and how often they do.
-CROWD, DEEPER = 128, 2
+CROWD, DEEPER = 2048, 2
+#: Numbers of texts up to which the list of those to be confirmed is broadcast (16 bytes each); beyond, texts are shuffled.
+BROADCAST_ROWS = 500_000
 
 
 @dataclass(frozen=True)
@@ -124,8 +126,9 @@ def _confirmed(docs: DataFrame, pairs: DataFrame, text_col: str, id_col: str, ki
     sent = _spark.stored(member.unionByName(hub), "sent")
     text = F.col(text_col).cast("string")
     texts = docs.select(F.xxhash64(F.col(id_col), text).alias("uid"), text.alias("text"))
-    # repeated rows have one uid; one text each is enough
-    wanted = sent.select("uid").distinct().hint("shuffle_hash")
+    # repeated rows have one uid; one text each is enough.  A short list goes to the texts, so that no other text moves
+    wanted = _spark.stored(sent.select("uid").distinct(), "wanted")
+    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted.hint("shuffle_hash")
     texts = texts.join(wanted, "uid", "left_semi").dropDuplicates(["uid"])
     placed = sent.join(texts, "uid").select("a", "salt", "role", "b", "text")
     placed = placed.repartition(F.col("a"), F.col("salt")).sortWithinPartitions("a", "salt", "role")
