@@ -33,7 +33,7 @@ SPACE_MARK = "▁"
 _MARK = SPACE_MARK.encode()
 #: About the bytes of merged segments that a worker keeps between batches, what an entry takes besides its texts,
 #: and the bytes of texts that are worked on at once; matters of speed and memory alone.
-KEPT_BYTES, ENTRY_BYTES, RUN_BYTES = 64 << 20, 320, 2 << 20
+KEPT_BYTES, ENTRY_BYTES, RUN_BYTES = 40 << 20, 320, 2 << 20
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
 
