@@ -251,6 +251,45 @@ def test_lm_knows_contexts_outside_the_sample(spark, monkeypatch):
     assert np.mean([got[i] for i in held[:10]]) > np.mean([got[i] for i in held[10:]]) + 0.7
 
 
+@pytest.mark.parametrize("blocks", [30, 1, 44_000])
+def test_lm_learns_from_every_training_block(spark, monkeypatch, blocks):
+    """Every piece that training texts hold, and no other, moves its embedding, and every token weighs the mixture:
+    where the driver begins and learners go on, where learners do all, and where the driver does all."""
+    monkeypatch.setattr(lm, "TRAIN_BLOCKS", blocks)
+    monkeypatch.setattr(lm, "PER_LEARNER", 200, raising=False)
+    ratios, own = [], lm.Context.fit_weight
+    monkeypatch.setattr(lm.Context, "fit_weight", lambda self, got, *more: ratios.append(got) or own(self, got, *more))
+    rng = np.random.default_rng(9)
+    letters = list("abcdefghijklmnopqrstuvwxyz")
+    rows = [(i, " ".join("".join(rng.choice(letters, rng.integers(1, 8))) for _ in range(rng.integers(0, 40)))) for i in range(300)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(6, "doc_id")
+    scorer, _, _ = lm.fit(table, piece_model())
+    at_first = np.random.default_rng(4).normal(0, 0.3, scorer.net.p["e"].shape).astype(np.float32)
+    assert np.array_equal((scorer.net.p["e"] != at_first).any(1), scorer.context.seen > 0)
+    assert all(np.isfinite(v).all() for v in scorer.net.p.values())
+    assert sum(r.sum() for r in ratios) == scorer.context.seen.sum()
+
+
+def test_steps_follow_the_gradient_and_meet_each_block_once():
+    rng = np.random.default_rng(2)
+    classes, share = rng.integers(0, attention.CLASSES, 40), np.zeros(40, np.float32)
+    strips, fresh, y, used = rng.integers(0, 40, (3, 5, 16)), rng.random((3, 4)) < 0.3, rng.integers(0, 40, (3, 4, 16)), rng.random((3, 4, 16)) < 0.8
+    start = attention.initial(np.ones(40), classes, share).p
+
+    def step(p):
+        learner = attention.Learner(attention.Attention({k: v.copy() for k, v in p.items()}, classes, share))
+        return -learner.step(strips, fresh, y, used, 0.0)[used].astype(float).mean(), learner
+
+    gradient = step(start)[1].m
+    for name, value in start.items():
+        toward, far = rng.normal(size=value.shape).astype(np.float32), 2e-3
+        slope = (step({**start, name: value + far * toward})[0] - step({**start, name: value - far * toward})[0]) / (2 * far)
+        assert abs(slope - 10 * (gradient[name] * toward).sum()) < 0.02 * abs(slope) + 4e-3
+    for n in (1, 15, 16, 17, 300, 1000):
+        own = np.concatenate([at[:, 1:].ravel() for at in attention.strips_of(n, rng)])
+        assert sorted(own[own < n]) == list(range(n))
+
+
 def test_attention_is_a_distribution_and_scores_each_token_once():
     rng = np.random.default_rng(0)
     n = 300
