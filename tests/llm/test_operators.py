@@ -290,6 +290,16 @@ def test_steps_follow_the_gradient_and_meet_each_block_once():
         assert sorted(own[own < n]) == list(range(n))
 
 
+def test_highest_outputs_are_taken_off_only_where_exponents_may_leave_the_range():
+    rng = np.random.default_rng(3)
+    for low, high, told in ((-70, 70, False), (-70, 500, True), (-500, -300, True), (-500, 500, True)):
+        z = rng.uniform(low, high, (50, 32)).astype(np.float32)
+        want = np.exp(z.astype(float) - z.max(1, keepdims=True))
+        assert attention.steady(z) == told
+        got = np.exp(z)
+        assert np.allclose(got / got.sum(1, keepdims=True), want / want.sum(1, keepdims=True), rtol=1e-3, atol=1e-30)
+
+
 def test_attention_is_a_distribution_and_scores_each_token_once():
     rng = np.random.default_rng(0)
     n = 300
@@ -693,6 +703,10 @@ def test_pieces_of_words_join_to_the_text():
 
     data, at = _text.buffers(column)
     run = lm.read_run(data, at, reader)
+    entries = np.array([3, 0, 1, 3])
+    sizes, flat = reader.of(entries)
+    assert flat.tolist() == [i for k in entries for i in reader.flat[reader.start[k] : reader.start[k] + reader.size[k]]]
+    assert sizes.tolist() == [reader.size[k] for k in entries] and reader.of(entries[:0])[1].tolist() == []
     again = lm.Run.unpacked([pa.scalar(b) for b in run.packed()])
     ids, first = again.pieces()
     assert np.array_equal(ids, run.pieces()[0])
