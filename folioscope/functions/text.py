@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _FROM = "àáâãäåāăąçćčĉċďđèéêëēĕėęěĝğġģĥħìíîïĩīĭįıĵķĺļľłñńņňòóôõöøōŏőŕŗřśŝşšţťŧùúûüũūŭůűųŵýÿŷźżž"
@@ -10,6 +12,20 @@ _TO = "aaaaaaaaacccccddeeeeeeeeegggghhiiiiiiiiijkllll" + "nnnn" + "ooooooooo" +
 _LONG = {"æ": "ae", "œ": "oe", "ß": "ss", "þ": "th", "ð": "d"}
 
 
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """The rows with these columns, each computed once a row.
+
+    A filter on a column of a plain projection is moved below it with the column's expression in place of each use;
+    it isn't moved below a generator.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
+def let(c: Column, use: Callable[[Column], Column]) -> Column:
+    """An expression that uses a value several times and computes it once."""
+    return F.element_at(F.transform(F.array(c), use), 1)
+
+
 def deaccent(c: Column) -> Column:
     """Lower-cased letters without accents; ligatures written out."""
     out = F.translate(F.lower(c), _FROM, _TO)
@@ -37,10 +53,15 @@ def clean_tex(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(out, r"[{}$]", ""), r"[\s~]+", " "))
 
 
+def plain(c: Column) -> Column:
+    """ASCII without TeX, markup and ampersands: clean_tex squeezes spaces alone, and deaccent lowers alone."""
+    return ~c.rlike(r"[\\{}$~&<\x80-\x{10ffff}]")
+
+
 def title_key(c: Column) -> Column:
     """Letters, digits and single spaces of a title, for comparison."""
-    out = F.replace(deaccent(F.regexp_replace(clean_tex(c), r"(?is)<[^<>]*>", "")), F.lit("&"), F.lit(" and "))
-    return F.trim(F.regexp_replace(F.regexp_replace(out, r"[^a-z0-9 ]", " "), " +", " "))
+    full = lambda x: F.replace(deaccent(F.regexp_replace(clean_tex(x), r"(?is)<[^<>]*>", "")), F.lit("&"), F.lit(" and "))
+    return F.trim(F.regexp_replace(let(c, lambda x: F.when(plain(x), F.lower(x)).otherwise(full(x))), "[^a-z0-9]+", " "))
 
 
 def words(key: Column) -> Column:
@@ -137,18 +158,17 @@ def authors(c: Column) -> Column:
 
 def surname(name: Column) -> Column:
     """Text before the comma, or the last part but for Jr and numerals."""
-    plain = F.regexp_replace(name, r"(?i),?\s+(?:jr\.?|sr\.?|ii|iii|iv)$", "")
-    return F.when(plain.rlike(r"^\{.*\}$"), plain).when(F.contains(plain, F.lit(",")), F.trim(F.substring_index(plain, ",", 1))).otherwise(
-        F.regexp_extract(plain, r"(\S+)$", 1)
-    )
+    bare = F.regexp_replace(name, r"(?i),?\s+(?:jr\.?|sr\.?|ii|iii|iv)$", "")
+    last = lambda x: F.when(x.rlike(r"^\{.*\}$"), x).when(F.contains(x, F.lit(",")), F.trim(F.substring_index(x, ",", 1))).otherwise(F.regexp_extract(x, r"(\S+)$", 1))
+    return let(bare, last)
 
 
 def fold_surname(name: Column) -> Column:
     """Letters of a surname with umlauts and their transcriptions made equal."""
-    folded = deaccent(clean_tex(surname(name)))
+    folded = let(surname(name), lambda x: F.when(plain(x), F.lower(x)).otherwise(deaccent(clean_tex(x))))
     for two, one in (("oe", "o"), ("ue", "u"), ("ae", "a")):
         folded = F.replace(folded, F.lit(two), F.lit(one))
-    return F.regexp_replace(folded, "[^a-z]", "")
+    return F.regexp_replace(folded, "[^a-z]+", "")
 
 
 PARTICLES = ["van", "von", "de", "del", "della", "der", "den", "di", "da", "dos", "du", "la", "le", "ten", "ter", "vander", "vanden", "vonder", "dela", "al", "el"]
@@ -156,10 +176,8 @@ PARTICLES = ["van", "von", "de", "del", "della", "der", "den", "di", "da", "dos"
 
 def surname_match(a: Column, b: Column) -> Column:
     """Equal, or equal once a particle is dropped from the front of one of them."""
-    hit = a == b
-    for p in PARTICLES:
-        hit = hit | (a == F.concat(F.lit(p), b)) | (b == F.concat(F.lit(p), a))
-    return (F.length(a) > 0) & (F.length(b) > 0) & hit
+    led = lambda x, y: F.endswith(x, y) & F.substring(x, F.lit(1), F.length(x) - F.length(y)).isin(PARTICLES)
+    return (F.length(a) > 0) & (F.length(b) > 0) & ((a == b) | led(a, b) | led(b, a))
 
 
 def truncated(c: Column) -> Column:

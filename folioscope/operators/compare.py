@@ -114,10 +114,14 @@ def closest_form(values: DataFrame, forms: DataFrame) -> DataFrame:
 
 def accepted_hits(wanted: DataFrame, hits: DataFrame, least: float = 0.8, most_hits: int = 8) -> DataFrame:
     """The first acceptable search hit of each entry: wanted (id, title, surname, year), hits (id, rank, title, surname, year, doi)."""
-    both = wanted.join(hits.filter(F.col("rank") <= most_hits).select("id", "rank", F.col("title").alias("ht"), F.col("surname").alias("hs"), F.col("year").alias("hy"), "doi"), "id")
-    a, b = T.title_key(F.col("title")), T.title_key(F.col("ht"))
-    near = (T.overlap(T.words(a), T.words(b)) >= least) & (F.size(F.array_union(T.words(a), T.words(b))) >= 8)
-    close_year = F.abs(F.col("year") - F.col("hy")) <= 1
-    fine = F.when(a == b, close_year | (F.abs(F.col("year") - F.col("hy")) <= 3)).otherwise((T.similar(a, b) | T.fragment(a, b) | near) & close_year)
-    fine = fine & (F.size(T.words(a)) >= 2) & T.surname_match(F.col("surname"), F.col("hs"))
-    return both.filter(fine).groupBy("id").agg(F.min_by(F.struct("doi", "rank"), "rank").alias("m")).select("id", "m.doi", "m.rank")
+    ours = T.once(wanted.select("id", "surname", "year", "title"), a=T.title_key(F.col("title"))).drop("title").filter(F.size(T.words(F.col("a"))) >= 2)
+    theirs = hits.filter(F.col("rank") <= most_hits).select("id", "rank", F.col("title").alias("ht"), F.col("surname").alias("hs"), F.col("year").alias("hy"), "doi")
+    apart = F.abs(F.col("year") - F.col("hy"))
+    # years and names go first, keys and words are made of what they leave
+    both = ours.join(theirs, "id").filter((apart <= 3) & T.surname_match(F.col("surname"), F.col("hs")))
+    a, b, unlike = F.col("a"), F.col("b"), (F.col("a") != F.col("b")) & (apart <= 1)
+    both = T.once(both, b=T.title_key(F.col("ht")))
+    both = T.once(both, wa=F.when(unlike, T.words(a)), wb=F.when(unlike, T.words(b)))
+    both = T.once(both, share=F.when(unlike, T.overlap(F.col("wa"), F.col("wb"))), every=F.when(unlike, F.size(F.array_union("wa", "wb"))))
+    near = (F.col("share") >= 0.9) | ((F.col("share") >= least) & (F.col("every") >= 8)) | T.shortened(a, b) | T.fragment(a, b)
+    return both.filter((a == b) | (unlike & near)).groupBy("id").agg(F.min_by(F.struct("doi", "rank"), "rank").alias("m")).select("id", "m.doi", "m.rank")
