@@ -39,7 +39,7 @@ def field(name: str) -> Column:
 
 
 def filled(name: str) -> Column:
-    return F.length(F.regexp_replace(field(name), r"[{}\s]", "")) > 0
+    return field(name).rlike(r"[^{}\s]")
 
 
 def clean_tex(c: Column) -> Column:

@@ -19,22 +19,28 @@ def duplicate_keys(entries: DataFrame) -> DataFrame:
     return out.filter("nth > 1")
 
 
+def _with_doi(entries: DataFrame) -> DataFrame:
+    return T.once(entries, doi=T.bare_doi(T.field("doi")))
+
+
 def duplicate_dois(entries: DataFrame) -> DataFrame:
     """Second and later entries of a DOI, with the key of the first."""
-    own = entries.select("file_id", "entry_seq", "key", T.bare_doi(T.field("doi")).alias("doi")).filter("doi <> ''")
+    own = _with_doi(entries.select("file_id", "entry_seq", "key", "fields")).filter("doi <> ''").drop("fields")
     w = _first(["doi"])
     return own.select("*", F.first("key").over(w).alias("first_key"), F.row_number().over(w).alias("nth")).filter("nth > 1")
 
 
 def duplicate_works(entries: DataFrame) -> DataFrame:
-    """Entries whose title key, year and first surname occurred before, unless their DOI did."""
-    own = entries.select(
-        "file_id", "entry_seq", "key", T.title_key(T.field("title")).alias("title_key"), T.field("year").alias("year"),
-        T.fold_surname(F.coalesce(F.try_element_at(T.authors(T.field("author")), F.lit(1)), F.lit(""))).alias("surname"),
-    ).filter("title_key <> ''")
+    """Entries whose title key, year and first surname occurred before, unless their DOI did.
+
+    Both windows go over the same rows; an entry without a DOI is a partition of its own in that of the DOIs.
+    """
+    own = _with_doi(entries.select("file_id", "entry_seq", "key", "fields"))
+    own = T.once(own, title_key=T.title_key(T.field("title")), year=T.field("year"), first=F.coalesce(F.try_element_at(T.authors(T.field("author")), F.lit(1)), F.lit("")))
+    own = T.once(own.drop("fields"), surname=T.fold_surname(F.col("first")), alone=F.when(F.col("doi") == "", F.col("entry_seq"))).drop("first")
+    own = own.select("*", F.row_number().over(_first(["doi", "alone"])).alias("of_doi")).filter("title_key <> ''").drop("doi", "alone")
     w = _first(["title_key", "year", "surname"])
-    found = own.select("*", F.first("key").over(w).alias("first_key"), F.row_number().over(w).alias("nth")).filter("nth > 1")
-    return found.join(duplicate_dois(entries).select("file_id", "entry_seq"), ["file_id", "entry_seq"], "left_anti")
+    return own.select("*", F.first("key").over(w).alias("first_key"), F.row_number().over(w).alias("nth")).filter("nth > 1 and of_doi = 1").drop("of_doi")
 
 
 def author_form_census(entries: DataFrame) -> DataFrame:

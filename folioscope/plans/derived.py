@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+
 NAMES = ["Adams", "Baker", "Clark", "Davis", "Evans", "Frank", "Gauss"]
 FLAT = ["title", "author", "year", "journal", "booktitle", "volume", "pages", "doi", "isbn", "publisher"]
 
@@ -80,8 +82,9 @@ def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flat rows as parsed entries."""
     rows = flat(spark, sf_dir)
     pairs = F.filter(F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).alias("value")) for n in FLAT]), lambda x: x["value"] != "")
+    rows = T.once(rows.select("file_id", "entry_seq", "key", "etype", pairs.alias("occurrences")), fields=F.map_from_entries("occurrences"))
     return rows.select(
-        "file_id", "entry_seq", "key", "etype", F.map_from_entries(pairs).alias("fields"), pairs.alias("occurrences"),
+        "file_id", "entry_seq", "key", "etype", "fields", "occurrences",
         F.expr("map_from_arrays(cast(array() as array<string>), cast(array() as array<int>))").alias("field_lines"), F.col("entry_seq").cast("int").alias("lineno"), F.lit("").alias("raw"),
     )
 

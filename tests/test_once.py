@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from folioscope.functions import text as T
-from folioscope.operators import compare
+from folioscope.operators import compare, windows
+from folioscope.plans import derived as D
 
 #: A pattern that title_key has once.
 KEY = "<[^<>]*>"
@@ -53,3 +54,22 @@ def test_surname_match(spark):
     rows = [("adams", "adams", True), ("vanadams", "adams", True), ("adams", "delaadams", True), ("xadams", "adams", False), ("", "", False), ("van", "", False), ("adams", "baker", False), (None, "adams", None)]
     made = spark.createDataFrame(rows, "a string, b string, want boolean")
     assert all(r.got == r.want for r in made.withColumn("got", T.surname_match(F.col("a"), F.col("b"))).collect())
+
+
+def test_duplicate_works(spark, tmp_path):
+    """Second entries of a work, unless their DOI occurred before; entries without a DOI or a title aren't one group."""
+    rows = [
+        (1, "Rivers", "10.1/a", "Adams, A."), (2, "{Rivers}", "10.1/A", "Adams, B."), (3, "rivers!", "", "Adams, A. and Baker, B."), (4, "Rivers", "", "Baker, B."), (5, "", "10.1/a", "Adams, A."), (6, "", "", ""), (7, "", "", ""),
+        (8, "Rivers", "10.1/b", "Adams, A."), (9, "Stones", "10.1/b", "Clark, C."), (10, "Stones", "10.1/c", "Clark, C."), (11, "Rivers", "", "Baker, C."),
+    ]
+    raw = spark.createDataFrame([("f", k, f"k{k}", {n: v for n, v in (("title", t), ("doi", d), ("author", a)) if v}) for k, t, d, a in rows], "file_id string, entry_seq long, key string, fields map<string,string>")
+    raw.write.parquet(str(tmp_path / "e"))
+    found = windows.duplicate_works(spark.read.parquet(str(tmp_path / "e")))
+    assert {(r.entry_seq, r.first_key) for r in found.collect()} == {(3, "k1"), (8, "k1"), (10, "k9"), (11, "k4")}
+    assert planned(found).count(KEY) == 1
+
+
+def test_entries_are_made_in_several_tasks(spark, sf):
+    made = D.entries(spark, sf)
+    assert made.rdd.getNumPartitions() > 1
+    assert planned(made.filter((T.field("title") != "") & (T.field("doi") != ""))).count("map_from_entries") == 1
