@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from folioscope.functions import text as T
 from folioscope.operators import compare, windows
+from folioscope.plans import audit
 from folioscope.plans import derived as D
 
 #: A pattern that title_key has once.
@@ -73,3 +74,8 @@ def test_entries_are_made_in_several_tasks(spark, sf):
     made = D.entries(spark, sf)
     assert made.rdd.getNumPartitions() > 1
     assert planned(made.filter((T.field("title") != "") & (T.field("doi") != ""))).count("map_from_entries") == 1
+
+
+def test_descriptions_are_compared_in_one_pass(spark, sf):
+    entries, records = D.entries(spark, sf), D.records(spark, sf)
+    assert "Union" not in planned(audit.description_findings(entries, records))
